@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textassay.functions.patterns import NAMES_ALT, TAG
+from textassay.functions.text import with_value
 
 # The numbers that are repaired are 30-39 and 100-299. The
 # ampersand was replaced by one space, so one space is consumed, and an entity
@@ -48,38 +49,42 @@ def _codepoint_to_char(number: Column) -> Column:
     return F.when(number == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(packed, "UTF-32"))
 
 
-def _numeric_reference(ref: Column) -> Column:
-    """Text of ``#38;`` or ``#x26``: cp1252 for the C1 range, U+FFFD if invalid."""
+def _digits(ref: Column) -> Column:
+    """Codepoint of ``#38;`` or ``#x26``; one past the last for anything longer."""
     is_hex = F.lower(F.substring(ref, 2, 1)) == "x"
-    digits = F.when(is_hex, F.regexp_extract(ref, r"^#[xX]0*([0-9a-fA-F]*)", 1)).otherwise(
-        F.regexp_extract(ref, r"^#0*([0-9]*)", 1)
-    )
-    # Seven significant digits (six hex) hold every codepoint; longer ones are out of range.
-    too_long = F.char_length(digits) > F.when(is_hex, 6).otherwise(7)
-    number = (
-        F.when(too_long, LAST_CODEPOINT + 1)
-        .when(digits == "", 0)
-        .when(is_hex, F.conv(digits, 16, 10).cast("int"))
-        .otherwise(F.conv(digits, 10, 10).cast("int"))
-    )
-    c1_row = [
-        bytes([value]).decode("cp1252", "ignore") or chr(value) for value in range(0x80, 0xA0)
-    ]
-    c1 = F.element_at(F.split(F.lit("|".join(c1_row)), r"\|"), number - 0x7F)
-    surrogate = number.between(0xD800, 0xDFFF)
-    dropped = (
-        number.between(0x1, 0x8)
-        | number.between(0xE, 0x1F)
-        | number.between(0xFDD0, 0xFDEF)
-        | number.isin(0xB, 0x7F)
-        | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    )
-    return (
-        F.when((number == 0) | surrogate | (number > LAST_CODEPOINT), REPLACEMENT_CHARACTER)
-        .when(number.between(0x80, 0x9F), c1)
-        .when(dropped, "")
-        .otherwise(_codepoint_to_char(number))
-    )
+    hex_digits = F.regexp_extract(ref, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal_digits = F.regexp_extract(ref, r"^#0*([0-9]*)", 1)
+
+    def number(digits: Column, most: int, base: int) -> Column:
+        # ``most`` significant digits hold every codepoint.
+        return with_value(digits, lambda d: F.when(d == "", 0).when(
+            F.char_length(d) > most, LAST_CODEPOINT + 1
+        ).otherwise(F.conv(d, base, 10).cast("int")))
+
+    return F.when(is_hex, number(hex_digits, 6, 16)).otherwise(number(decimal_digits, 7, 10))
+
+
+def _numeric_reference(ref: Column) -> Column:
+    """Text of a numeric reference: cp1252 for the C1 range, U+FFFD if invalid."""
+    c1_row = [bytes([value]).decode("cp1252", "ignore") or chr(value) for value in range(0x80, 0xA0)]
+
+    def character(number: Column) -> Column:
+        surrogate = number.between(0xD800, 0xDFFF)
+        dropped = (
+            number.between(0x1, 0x8)
+            | number.between(0xE, 0x1F)
+            | number.between(0xFDD0, 0xFDEF)
+            | number.isin(0xB, 0x7F)
+            | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        )
+        return (
+            F.when((number == 0) | surrogate | (number > LAST_CODEPOINT), REPLACEMENT_CHARACTER)
+            .when(number.between(0x80, 0x9F), F.substring(F.lit("".join(c1_row)), number - 0x7F, F.lit(1)))
+            .when(dropped, "")
+            .otherwise(_codepoint_to_char(number))
+        )
+
+    return with_value(_digits(ref), character)
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -102,21 +107,21 @@ def _named_reference(ref: Column) -> Column:
 
 
 def _after_ampersand(piece: Column) -> Column:
-    ref = F.regexp_extract(piece, REFERENCE, 1)
-    rest = F.substring(piece, F.char_length(ref) + 1, F.char_length(piece))
-    return (
-        F.when(ref == "", F.concat(F.lit("&"), piece))
-        .when(F.startswith(ref, F.lit("#")), F.concat(_numeric_reference(ref), rest))
-        .otherwise(F.concat(_named_reference(ref), rest))
-    )
+    def decoded(ref: Column) -> Column:
+        value = F.when(F.startswith(ref, F.lit("#")), _numeric_reference(ref)).otherwise(_named_reference(ref))
+        rest = F.substring(piece, F.char_length(ref) + 1, F.char_length(piece))
+        return F.when(ref == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(value, rest))
+
+    return with_value(F.regexp_extract(piece, REFERENCE, 1), decoded)
 
 
 def unescape(text: Column) -> Column:
     """HTML unescape, once. Rows without ``&`` pass through untouched."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _after_ampersand)
-    whole = F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        others = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(others, _after_ampersand), ""))
+
+    return F.when(F.contains(text, F.lit("&")), with_value(F.split(text, "&"), joined)).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -131,7 +136,7 @@ def repair(text: Column) -> Column:
     restored = F.when(
         F.contains(text, F.lit(";")), restore_named(restore_numeric(text))
     ).otherwise(text)
-    return unescape(restored)
+    return with_value(restored, unescape)
 
 
 def strip_markup(repaired: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ MIN_TRAINING_LENGTH = 100
 MAX_REQUEST_LENGTH = 5000
 
 
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(value: Column) -> Column:
     """Remove Unicode whitespace at both ends (``F.trim`` alone knows U+0020)."""
     return F.trim(value, F.lit(WHITESPACE))

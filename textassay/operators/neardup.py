@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions.numbers import share
+from textassay.functions.text import with_value
 from textassay.operators.keyed import heavy_keys, join_by_frequency
 from textassay.operators.profile import digest
 from textassay.operators.sampling import smallest
-from textassay.operators.vocabulary import counted_tokens, smooth_idf, with_value
+from textassay.operators.vocabulary import counted_tokens, smooth_idf
 from textassay.session import settle
 
 LOW_DF = 2

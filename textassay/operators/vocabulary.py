@@ -10,18 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions.numbers import share
-from textassay.functions.text import input_flags, tokens
+from textassay.functions.text import input_flags, tokens, with_value
 from textassay.operators.keyed import join_by_frequency
 
 
 def terms(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per distinct term of a row."""
-    return df.select(*(keep or ["doc_id"]), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-
-
-def with_value(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return df.select(*(["doc_id"] if keep is None else keep), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
 def counted_tokens(text: Column) -> Column:
