@@ -12,7 +12,7 @@ from textassay.functions.numbers import share
 from textassay.operators import (
     baselines, checks, collision, corruption, duplicates, neardup, profile, sampling, scores, vocabulary,
 )
-from textassay.plans import inputs
+from textassay.plans import experiment, features, inputs
 from textassay.session import settle, shared_folder
 from textassay.sources import results
 
@@ -471,6 +471,142 @@ def heldout_distribution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Models. A fit is a sampling experiment: at most N_SAMPLE rows of the table per seed.
+
+FIT = {"max_iter": 40}
+MODEL_SEEDS = (0, 1)
+LABELS = sorted(inputs.LANGUAGES)
+
+
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text variant of the corpus on one row."""
+    return inputs.dirty_corpus(spark, folder).select("doc_id", "label", "text", "repaired", "title", "description")
+
+
+def sample_size(df: DataFrame) -> int:
+    return min(sampling.N_SAMPLE, df.count())
+
+
+def run(df: DataFrame, cells: list, name: str, **options) -> DataFrame:
+    return experiment.run_cells(df, cells, name, LABELS, MODEL_SEEDS, sample_size(df), **options)
+
+
+def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
+    found = run(variants(spark, folder), experiment.two_by_two(), "corruption_2x2", **FIT)
+    experiment.check_run(found)
+    return found
+
+
+def bayes_2x2(spark: SparkSession, folder: str) -> DataFrame:
+    """The same four cells with naive Bayes, whose fit is a count and so has a SQL twin."""
+    found = run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2", kind="bayes")
+    experiment.check_run(found)
+    return rounded(found.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
+
+
+def bayes_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    found = run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2", kind="bayes")
+    return rounded(experiment.summary(found).drop("line"), "mean", "sd")
+
+
+def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    df = variants(spark, folder)
+    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df), **FIT)
+
+
+def markup_arms(spark: SparkSession, folder: str) -> DataFrame:
+    """Repair only against repair plus tag stripping."""
+    df = variants(spark, folder).withColumn("stripped", repair.strip_markup(F.col("repaired")))
+    return run(df, [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")],
+               "markup_strip", kind="bayes")
+
+
+def field_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    cells = [experiment.Cell(n, c, c) for n, c in (("T", "title"), ("D", "description"), ("J", "text"))]
+    return run(variants(spark, folder), cells, "fields", kind="bayes")
+
+
+def marker_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """With and without a source marker; licence lines are what documents have for one."""
+    plain = F.regexp_replace("text", experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright", " ")
+    df = variants(spark, folder).withColumn("unmarked", plain)
+    return run(df, [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")], "markers", kind="bayes")
+
+
+def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectoriser and penalty settings, each a cell to compare with the default."""
+    settings = {"default": {}, "min_df_2": {"min_df": 2}, "top_5000": {"max_features": 5000}, "c_10": {"c": 10.0, "min_df": 2}}
+    cells = [experiment.Cell(name, "text", "text", options) for name, options in settings.items()]
+    df = variants(spark, folder)
+    return experiment.run_cells(df, cells, "sweep", LABELS, (0,), sample_size(df), max_iter=20)
+
+
+def bigram_arm(spark: SparkSession, folder: str) -> DataFrame:
+    cells = [experiment.Cell("1", "text", "text"), experiment.Cell("2", "text", "text", {"ngrams": 2, "min_df": 2})]
+    return run(variants(spark, folder), cells, "ngrams", kind="bayes")
+
+
+def contrast_models(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = {"logistic": {"max_iter": 20}, "svc": {"max_iter": 10}, "bayes": {}}
+    cells = [experiment.Cell(kind, "text", "text", {"kind": kind, "min_df": 2, **options}) for kind, options in kinds.items()]
+    df = variants(spark, folder)
+    return experiment.run_cells(df, cells, "contrast", LABELS, (0,), sample_size(df))
+
+
+def fitted(spark: SparkSession, folder: str, text_column: str = "repaired", **options):
+    """One model on the training side of seed 0, with both sides."""
+    df = variants(spark, folder)
+    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"])
+    train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
+    return features.fit(train, text_column, LABELS, **{**FIT, **options}), train, test
+
+
+def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return experiment.top_tokens(fitted(spark, folder)[0], LABELS)
+
+
+def confident_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of the whole corpus scored by the model for full texts."""
+    model, _, _ = fitted(spark, folder)
+    rows = variants(spark, folder).select("doc_id", "label", F.col("title").alias("text"))
+    found = experiment.confident_errors(features.predict(model, rows, "text", LABELS))
+    return found.select("doc_id", "label", "prediction", "confidence")
+
+
+def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns scored by the document model, with flags."""
+    model, train, _ = fitted(spark, folder)
+    turns = inputs.table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    return experiment.batch_score(model, turns, LABELS, experiment.known_terms(train, "repaired"))
+
+
+def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Two numbers on the held-out side, dirty on dirty and repaired on repaired, with the artifact rate."""
+    df = variants(spark, folder)
+    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"])
+    train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
+    rows = []
+    for name, column in (("dirty", "text"), ("repaired", "repaired")):
+        model = features.fit(train, column, LABELS, **FIT)
+        score = experiment.score_cells(model, test, [experiment.Cell("x", column, column)], LABELS)["x"]
+        rate = corruption.rate_by_class(test.withColumn("all", F.lit("all")), patterns.corrupt(F.col(column)), "all").first()
+        rows.append((name, score, rate.n_hits, rate.n_rows))
+    return spark.createDataFrame(rows, "model STRING, macro_f1 DOUBLE, corrupt_rows BIGINT, n_rows BIGINT")
+
+
+def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
+    df = variants(spark, folder).select("doc_id", "label", "repaired")
+    rows = df.count()
+    ladder = [rows * step // 400_000 for step in sampling.LADDER]
+    return experiment.learning_curve(df, LABELS, ladder, anchor_rows=rows // 5, seeds=(0,), kind="bayes")
+
+
+MODELS = [
+    experiment_2x2, bayes_2x2, bayes_2x2_deltas, token_ablation, markup_arms, field_ablation, marker_ablation,
+    settings_sweep, bigram_arm, contrast_models, top_tokens, confident_errors, batch_scores, held_out_scores,
+    learning_curve,
+]
+
 RELATIONAL = [
     corpus_profile, exact_dupes, class_balance, label_domain, class_sum_identity,
     pattern_counts, pattern_counts_documents, corruption_by_class, corruption_by_page_class, provenance_grid,
@@ -490,4 +626,4 @@ RELATIONAL = [
 
 
 def registered() -> dict:
-    return {query.__name__: query for query in RELATIONAL}
+    return {query.__name__: query for query in [*RELATIONAL, *MODELS]}
