@@ -1,0 +1,128 @@
+"""Features and fits against plain arithmetic."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F
+
+from textassay.operators import vocabulary
+from textassay.plans import experiment, features
+
+TEXTS = [
+    (1, "The cat sat on the mat, the cat!"), (1, "A cat and a dog"), (1, "cat cat mat"),
+    (2, "stocks fell on Monday"), (2, "the stocks rose; markets rose"), (2, "markets and stocks"),
+    (3, "Chávez résumé naïve"), (3, "the résumé of Chávez"), (3, "naïve the 39"),
+]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    data = [(i, label, text) for i, (label, text) in enumerate(TEXTS * 4)]
+    return spark.createDataFrame(data, "doc_id BIGINT, label INT, text STRING").repartition(3)
+
+
+def brute():
+    docs = [Counter(re.findall(r"\b\w\w+\b", text.lower())) for _, text in TEXTS * 4]
+    df = Counter(t for d in docs for t in d)
+    out = []
+    for d in docs:
+        w = {t: tf * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, tf in d.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out.append({t: x / norm for t, x in w.items()})
+    return out
+
+
+def test_long_and_pipeline_weights_equal_the_formula(rows):
+    want = brute()
+    long = {(r.doc_id, r.term): r.weight for r in vocabulary.tfidf(rows).collect()}
+    assert long == pytest.approx({(i, t): x for i, w in enumerate(want) for t, x in w.items()})
+    model = Pipeline(stages=features.tfidf_stages()).fit(rows)
+    terms = features.vocabulary(model)
+    for r in model.transform(rows).collect():
+        got = dict(zip((terms[i] for i in r.features.indices), r.features.values))
+        assert got == pytest.approx(want[r.doc_id])
+
+
+def gradient(model, rows, labels):
+    """Gradient of the sum of losses plus half the squared norm (C = 1)."""
+    last = model.stages[-1]
+    w, b = last.coefficientMatrix.toArray(), last.interceptVector.toArray()
+    grad, grad_b = w.copy(), np.zeros(len(labels))
+    for r in PipelineModel(model.stages[:-1]).transform(rows).collect():
+        x = r.features.toArray()
+        z = w @ x + b
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[labels.index(r.label)] -= 1
+        grad += np.outer(p, x)
+        grad_b += p
+    return grad, grad_b
+
+
+def test_logistic_reaches_the_optimum_of_its_objective(rows):
+    labels = [1, 2, 3]
+    model = features.fit(rows, "text", labels)
+    grad, grad_b = gradient(model, rows, labels)
+    assert np.abs(grad).max() < 0.05 and np.abs(grad_b).max() < 0.05
+    assert features.predict(model, rows, "text", labels).filter("prediction <> label").count() == 0
+    top = experiment.top_tokens(model, labels, 2).filter("label = 2 and rank = 1").first()
+    assert top.term == "stocks"
+
+
+def test_anchors_touch_one_direction_only(rows, monkeypatch):
+    monkeypatch.setattr(features.EvenlyScaledLogistic, "MIN_WIDTH", 0)
+    labels = [1, 2, 3]
+    grad, _ = gradient(features.fit(rows, "text", labels), rows, labels)
+    # What is left of the gradient is a multiple of the vector of signs.
+    assert np.abs(grad).std(axis=1).max() < 1e-4
+
+
+def test_vocabulary_is_refused_not_truncated(rows):
+    with pytest.raises(ValueError, match="limit of 5"):
+        features.fit(rows, "text", [1, 2, 3], kind="bayes", vocab_limit=5)
+
+
+def test_run_shares_fit_and_split(spark, rows):
+    df = rows.withColumn("repaired", F.regexp_replace("text", "39", ""))
+    found = experiment.run_cells(df, experiment.two_by_two(), "t", [1, 2, 3], seeds=(0, 1), n=30, kind="bayes")
+    experiment.check_run(found)
+    expected = found.select("seed", "cell", F.col("macro_f1").alias("value"))
+    experiment.check_run(found, expected)
+    with pytest.raises(AssertionError, match="not reproduced"):
+        experiment.check_run(found, expected.withColumn("value", F.col("value") + 0.1))
+    assert {r.vocab_size for r in found.filter("seed = 0 and cell in ('A', 'B')").collect()}.__len__() == 1
+    assert experiment.summary(found).count() == 4
+
+
+def test_silenced_token_keeps_its_share_of_the_norm(rows):
+    labels = [1, 2, 3]
+    model = features.fit(rows, "text", labels, max_iter=20)
+    quiet = experiment.without_token(model, "cat")
+    row = quiet.transform(rows.filter("doc_id = 2")).first()
+    terms = features.vocabulary(model)
+    masked = dict(zip(terms, row.masked.toArray()))
+    full = dict(zip(terms, row.features.toArray()))
+    assert masked["cat"] == 0 and full["cat"] > 0 and masked["mat"] == full["mat"] < 1
+
+
+def test_batch_scores_flag_and_reject(spark, rows):
+    labels = [1, 2, 3]
+    model = features.fit(rows, "text", labels, max_iter=20)
+    asked = spark.createDataFrame([(1, "cat zebra"), (2, ""), (3, "cat " * 1300), (4, "cat mat " * 20)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in experiment.batch_score(model, asked, labels, experiment.known_terms(rows)).collect()}
+    assert got[1].oov_fraction == 0.5 and got[1].below_training_length_floor and got[1].prediction == 1
+    assert got[2].rejected and got[2].prediction is None and got[2].oov_fraction is None
+    assert got[3].rejected and got[3].prediction is None
+    assert not got[4].below_training_length_floor and got[4].prediction == 1
+
+
+def test_learning_curve_rows(spark, rows):
+    found = experiment.learning_curve(rows.withColumn("repaired", F.col("text")), [1, 2, 3], (6, 12), anchors=(1, 2), anchor_rows=6,
+                                      seeds=(0,), kind="bayes")
+    assert sorted((r.anchor, r.step) for r in found.collect()) == [(1, 6), (1, 12), (2, 6), (2, 12)]

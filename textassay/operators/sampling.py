@@ -24,7 +24,7 @@ LADDER = (4_000, 8_000, 16_000, 32_000, 64_000, 80_000)
 REVIEW_ROWS = 100
 
 BUCKET_DIGITS = 4  # 65,536 buckets per group
-# Up to this many rows a top-n is cheaper than a histogram.
+# Up to this many rows a top-n of the keys is cheaper than a histogram.
 TOP_N_ROWS = 10_000
 
 ID_BITS, FAN_BITS = 18, 15  # ids per leaf of a fingerprint, leaves per node
@@ -90,9 +90,13 @@ def sample_n(df: DataFrame, n: int, seed: int, row_id: str = "doc_id") -> DataFr
     if n == have:
         return df
     if n <= TOP_N_ROWS:
-        return smallest(df, n, seed, row_id)
-    quotas = spark.range(1).select(F.lit(0).alias("cut"), F.lit(n).cast("bigint").alias("quota"))
-    cut = cut_rows(df, quotas, [], row_id, seed).drop("cut")
+        # Only hashes and ids are sorted; the rows themselves stay where they are.
+        keys = df.select(place(row_id, seed).alias("cut_h"), F.col(row_id).alias("cut_id"))
+        last = keys.orderBy("cut_h", "cut_id").limit(n).agg(F.max(F.struct("cut_h", "cut_id")).alias("c"))
+        cut = settle(last.select("c.*"))
+    else:
+        quotas = spark.range(1).select(F.lit(0).alias("cut"), F.lit(n).cast("bigint").alias("quota"))
+        cut = cut_rows(df, quotas, [], row_id, seed).drop("cut")
     # One row, by construction.
     return df.join(F.broadcast(cut)).filter(within(place(row_id, seed), F.col(row_id))).drop("cut_h", "cut_id")
 

@@ -57,10 +57,12 @@ class EvenlyScaledLogistic(Estimator):
     rows even the deviations out: one vector of random signs, plus and minus, once
     per class, at a weight that adds the average column variance to every column.
     They ask for equal class margins along one random direction of the whole
-    vocabulary and leave the rest of the model alone.
+    vocabulary and leave the rest of the model alone; one direction of a small
+    vocabulary would be too much, so that one goes without and converges anyway.
     """
 
     ANCHOR = 0.5
+    MIN_WIDTH = 2_000
 
     def __init__(self, solver: LogisticRegression, c: float):
         super().__init__()
@@ -68,22 +70,23 @@ class EvenlyScaledLogistic(Estimator):
 
     def _fit(self, dataset):
         rows = dataset.select("features", "target")
-        n, classes, width = rows.agg(
-            F.count("*"), F.max("target") + 1, F.max(F.col("target") * 0 + rows.first().features.size)
-        ).first()
+        width = rows.first().features.size
+        n, classes = rows.agg(F.count("*"), (F.max("target") + 1).cast("int")).first()
+        if width < self.MIN_WIDTH:
+            return self.solver.setRegParam(1.0 / (self.c * n)).fit(rows)
         weight = n / width / (2 * classes * self.ANCHOR**2)
-        signs = np.where(np.random.default_rng(0).random(int(width)) < 0.5, -self.ANCHOR, self.ANCHOR)
+        signs = np.where(np.random.default_rng(0).random(width) < 0.5, -self.ANCHOR, self.ANCHOR)
         anchors = dataset.sparkSession.createDataFrame(
-            [(Vectors.dense(sign * signs), float(k), weight) for sign in (1, -1) for k in range(int(classes))], ANCHOR_SCHEMA
+            [(Vectors.dense(sign * signs), float(k), weight) for sign in (1, -1) for k in range(classes)], ANCHOR_SCHEMA
         )
         weighted = rows.withColumn("weight", F.lit(1.0)).unionByName(anchors)
         total = n + 2 * classes * weight
         return self.solver.setWeightCol("weight").setRegParam(1.0 / (self.c * total)).fit(weighted)
 
 
-def tfidf_stages(min_df: int = 1, max_features: int | None = None, ngrams: int = 1,
+def count_stages(min_df: int = 1, max_features: int | None = None, ngrams: int = 1,
                  vocab_limit: int = VOCAB_LIMIT) -> list:
-    """Tokens, counts, smooth IDF, unit length; ``ngrams=2`` adds word pairs."""
+    """Tokens and their counts; ``ngrams=2`` adds word pairs."""
     stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN, gaps=False, toLowercase=True, minTokenLength=2)]
     counted = "words"
     if ngrams > 1:
@@ -91,8 +94,13 @@ def tfidf_stages(min_df: int = 1, max_features: int | None = None, ngrams: int =
         joined = ", ".join(["words"] + [f"words{k}" for k in range(2, ngrams + 1)])
         stages.append(SQLTransformer(statement=f"SELECT *, concat({joined}) AS grams FROM __THIS__"))
         counted = "grams"
-    return stages + [
-        CountVectorizer(inputCol=counted, outputCol="tf", minDF=min_df, vocabSize=max_features or vocab_limit),
+    return [*stages, CountVectorizer(inputCol=counted, outputCol="tf", minDF=min_df, vocabSize=max_features or vocab_limit)]
+
+
+def tfidf_stages(**counts) -> list:
+    """Counts, smooth IDF, unit length."""
+    return [
+        *count_stages(**counts),
         SmoothIdf(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
     ]
@@ -127,7 +135,8 @@ def fit(train: DataFrame, text: str, labels: list, kind: str = "logistic", c: fl
     """Fit vectorizer and classifier on the training rows as one model."""
     rows = train.select(F.col(text).alias("text"), to_target(F.col("label"), labels).alias("target"))
     n_train = n_train or train.count()
-    model = Pipeline(stages=[*tfidf_stages(**tfidf), classifier(kind, n_train, c, max_iter)]).fit(rows)
+    front = count_stages(**tfidf) if kind == "bayes" else tfidf_stages(**tfidf)
+    model = Pipeline(stages=[*front, classifier(kind, n_train, c, max_iter)]).fit(rows)
     limit = tfidf.get("vocab_limit", VOCAB_LIMIT)
     if tfidf.get("max_features") is None and len(vocabulary(model)) >= limit:
         raise ValueError(f"the vocabulary reached its limit of {limit}; raise vocab_limit")
