@@ -14,6 +14,7 @@ from textassay.functions.text import WHITESPACE
 from textassay.operators.collision import SUSPECTS
 from textassay.operators.neardup import SWEEP
 from textassay.operators.sampling import LADDER
+from textassay.plans.experiment import SOURCE_MARKERS
 from textassay.plans.inputs import LANGUAGES, NAMED_ESCAPES, NUMERIC_ESCAPES
 
 WORDS = r"[\p{L}\p{N}_]"
@@ -21,6 +22,7 @@ NUM = r"#\p{Nd}{2,4};"
 REPAIRABLE = r"#(?:3[0-9]|1[0-9]{2}|2[0-9]{2});"
 NAMED = f"(?:{NAMES_ALT});"
 LOW, HIGH, TAU = 2, 100, 0.6
+MARKERS = SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 
 def quote(value: str) -> str:
@@ -228,6 +230,57 @@ TRAIN_VOCAB = f"""{DIRTY}, {split_of('dirty')}, sizes AS (
 celled AS (SELECT seed, side, value, unnest(string_split(side, '')) AS cell FROM sizes)"""
 HELD = f"held AS (SELECT {dirty('text')} AS text FROM benchmark)"
 
+def bayes(cells: dict[str, tuple[str, str]], extra: str = "") -> str:
+    """Multinomial naive Bayes with add-one smoothing on the sampled split of seeds 0 and 1.
+
+    ``cells`` maps a cell to its training and test column, ``extra`` adds columns.
+    """
+    columns = sorted({column for pair in cells.values() for column in pair})
+    side = {name: " UNION ALL ".join(
+        f"SELECT seed, doc_id, label, '{c}' AS variant, unnest({tokens(c)}) AS term FROM split WHERE side = '{name}'"
+        for c in columns) for name in ("train", "test")}
+    listed = ", ".join(f"('{cell}', '{train}', '{test}')" for cell, (train, test) in cells.items())
+    return f"""{DIRTY}, base AS (SELECT d.*, c.title, c.description{extra} FROM dirty d JOIN corpus c USING (doc_id)),
+sampled AS (SELECT * FROM (SELECT base.*, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(doc_id || ':' || seed), doc_id) AS sr
+    FROM base, (SELECT unnest([0, 1]) AS seed)) WHERE sr <= 5000),
+sized AS (SELECT seed, label, count(*) AS n FROM sampled GROUP BY 1, 2),
+quotas AS (SELECT seed, label, (n * 20) // 100 AS base, (n * 20) % 100 AS rest,
+    (sum(n) OVER s * 20 + 99) // 100 - sum((n * 20) // 100) OVER s AS extra FROM sized WINDOW s AS (PARTITION BY seed)),
+quota AS (SELECT seed, label, base + (row_number() OVER (PARTITION BY seed ORDER BY rest DESC, label) <= extra)::INT AS quota FROM quotas),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY md5(doc_id || ':' || seed), doc_id) AS r FROM sampled),
+split AS (SELECT ranked.*, CASE WHEN r <= quota THEN 'test' ELSE 'train' END AS side FROM ranked JOIN quota USING (seed, label)),
+cells AS (SELECT * FROM (VALUES {listed}) v(cell, train, test)),
+counted AS (SELECT seed, variant, label, term, count(*) AS c FROM ({side['train']}) GROUP BY ALL),
+vocab AS (SELECT DISTINCT seed, variant, term FROM counted),
+width AS (SELECT seed, variant, count(*) AS v FROM vocab GROUP BY 1, 2),
+mass AS (SELECT seed, variant, label, sum(c) AS t FROM counted GROUP BY 1, 2, 3),
+prior AS (SELECT seed, label, ln(count(*) + 1.0) AS p FROM split WHERE side = 'train' GROUP BY 1, 2),
+asked AS (SELECT seed, variant, doc_id, term, count(*) AS tf FROM ({side['test']}) GROUP BY ALL),
+known AS (SELECT a.seed, cell, doc_id, sum(tf) AS k FROM asked a JOIN cells ON test = a.variant
+    JOIN vocab w ON w.seed = a.seed AND w.variant = train AND w.term = a.term GROUP BY ALL),
+match AS (SELECT a.seed, cell, doc_id, label, sum(tf * ln(c + 1.0)) AS m FROM asked a JOIN cells ON test = a.variant
+    JOIN counted w ON w.seed = a.seed AND w.variant = train AND w.term = a.term GROUP BY ALL),
+score AS (SELECT x.seed, cells.cell, x.doc_id, x.label AS truth, mass.label,
+    p + coalesce(m, 0) - coalesce(k, 0) * ln((t + v)::DOUBLE) AS s
+    FROM (SELECT seed, doc_id, label FROM split WHERE side = 'test') x CROSS JOIN cells
+    JOIN mass ON mass.seed = x.seed AND mass.variant = train JOIN width ON width.seed = x.seed AND width.variant = train
+    JOIN prior ON prior.seed = x.seed AND prior.label = mass.label
+    LEFT JOIN match ON match.seed = x.seed AND match.cell = cells.cell AND match.doc_id = x.doc_id AND match.label = mass.label
+    LEFT JOIN known ON known.seed = x.seed AND known.cell = cells.cell AND known.doc_id = x.doc_id),
+predicted AS (SELECT seed, cell, doc_id, truth AS label, label AS prediction FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, cell, doc_id ORDER BY s DESC, label) AS k FROM score) WHERE k = 1),
+confusion AS (SELECT seed, cell, label, prediction, count(*) AS n FROM predicted GROUP BY ALL), {METRICS},
+scores AS (SELECT seed, cell, avg(f1) AS value FROM metrics GROUP BY 1, 2),
+prints AS (SELECT seed, substr(sha1(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 12) AS test_idx_sha1
+    FROM split WHERE side = 'test' GROUP BY 1),
+results AS (SELECT cell, scores.seed AS seed, round(value, 6) AS macro_f1, v AS vocab_size, test_idx_sha1 FROM scores JOIN cells USING (cell)
+    JOIN width ON width.seed = scores.seed AND width.variant = train JOIN prints ON prints.seed = scores.seed)"""
+
+
+TWO_BY_TWO = {"A": ("text", "text"), "B": ("text", "repaired"), "C": ("repaired", "text"), "D": ("repaired", "repaired")}
+STRIPPED = ", regexp_replace(d.repaired, '<\\s*/?[A-Za-z][^>]*>', ' ', 'g') AS stripped"
+UNMARKED = ", regexp_replace(d.text, " + quote(MARKERS) + ", ' ', 'g') AS unmarked"
+
 ORACLE = {
     "corpus_profile": f"""WITH {CORPUS} SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels,
         sum((label IS NULL)::INT + (title IS NULL)::INT + (description IS NULL)::INT)::BIGINT AS n_nulls,
@@ -404,4 +457,14 @@ ORACLE = {
         SELECT count(*) AS n_truth, {count_if('found')} AS n_found, {count_if('found')}::DOUBLE / count(*) AS recall FROM scored""",
     "heldout_distribution": f"""WITH {HELD} SELECT count(*) AS n_rows, {', '.join(f"{count_if(rule('text'))} AS {name}" for name, rule in PREDICATES.items())},
         min(length(text)) AS len_min, median(length(text)) AS len_median, max(length(text)) AS len_max FROM held""",
+    "bayes_2x2": f"WITH {bayes(TWO_BY_TWO)} SELECT * FROM results",
+    "bayes_2x2_deltas": f"""WITH {bayes(TWO_BY_TWO)}, pair AS (SELECT unnest(['A', 'C', 'A', 'B']) AS "left", unnest(['B', 'D', 'C', 'D']) AS "right"),
+        d AS (SELECT "left", "right", l.value - r.value AS d FROM pair JOIN scores l ON l.cell = "left" JOIN scores r ON r.cell = "right" AND r.seed = l.seed),
+        z AS (SELECT "left", "right", avg(d) AS mean, stddev_samp(d) AS sd, count(*) AS n, {count_if('d < 0')} AS neg, {count_if('d > 0')} AS pos,
+        {count_if('d = 0')} AS zero FROM d GROUP BY 1, 2)
+        SELECT "left", "right", round(mean, 6) AS mean, round(sd, 6) AS sd, n, neg, pos, zero, abs(mean) < sd / sqrt(n) AS inside_se,
+        CASE WHEN pos > neg THEN 'pos' WHEN neg > pos THEN 'neg' ELSE 'tied' END AS majority FROM z""",
+    "markup_arms": f"WITH {bayes({'R': ('repaired', 'repaired'), 'S': ('stripped', 'stripped')}, STRIPPED)} SELECT * FROM results",
+    "field_ablation": f"WITH {bayes({'T': ('title', 'title'), 'D': ('description', 'description'), 'J': ('text', 'text')})} SELECT * FROM results",
+    "marker_ablation": f"WITH {bayes({'M': ('text', 'text'), 'U': ('unmarked', 'unmarked')}, UNMARKED)} SELECT * FROM results",
 }

@@ -491,6 +491,12 @@ def run(df: DataFrame, cells: list, name: str, **options) -> DataFrame:
     return experiment.run_cells(df, cells, name, LABELS, MODEL_SEEDS, sample_size(df), **options)
 
 
+def bayes_run(df: DataFrame, cells: list, name: str) -> DataFrame:
+    """A naive-Bayes run: its fit is a count, so it has a SQL twin."""
+    found = run(df, cells, name, kind="bayes")
+    return rounded(found.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
+
+
 def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
     found = run(variants(spark, folder), experiment.two_by_two(), "corruption_2x2", **FIT)
     experiment.check_run(found)
@@ -498,10 +504,7 @@ def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bayes_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    """The same four cells with naive Bayes, whose fit is a count and so has a SQL twin."""
-    found = run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2", kind="bayes")
-    experiment.check_run(found)
-    return rounded(found.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
+    return bayes_run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2")
 
 
 def bayes_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
@@ -517,20 +520,21 @@ def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
 def markup_arms(spark: SparkSession, folder: str) -> DataFrame:
     """Repair only against repair plus tag stripping."""
     df = variants(spark, folder).withColumn("stripped", repair.strip_markup(F.col("repaired")))
-    return run(df, [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")],
-               "markup_strip", kind="bayes")
+    return bayes_run(df, [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")], "markup_strip")
 
 
 def field_ablation(spark: SparkSession, folder: str) -> DataFrame:
     cells = [experiment.Cell(n, c, c) for n, c in (("T", "title"), ("D", "description"), ("J", "text"))]
-    return run(variants(spark, folder), cells, "fields", kind="bayes")
+    return bayes_run(variants(spark, folder), cells, "fields")
+
+
+MARKERS = experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 
 def marker_ablation(spark: SparkSession, folder: str) -> DataFrame:
     """With and without a source marker; licence lines are what documents have for one."""
-    plain = F.regexp_replace("text", experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright", " ")
-    df = variants(spark, folder).withColumn("unmarked", plain)
-    return run(df, [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")], "markers", kind="bayes")
+    df = variants(spark, folder).withColumn("unmarked", F.regexp_replace("text", MARKERS, " "))
+    return bayes_run(df, [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")], "markers")
 
 
 def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
