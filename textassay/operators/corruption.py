@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions import patterns
@@ -69,13 +69,13 @@ def markup_report(df: DataFrame, text: str = "text", column: str = "class_name")
         F.count_if(patterns.markup(s)).alias("n_markup"),
         F.count_if(patterns.markup(s) & patterns.intact(s)).alias("n_also_intact"),
     ).withColumn("rate", share(F.col("n_markup"), F.col("n_rows")))
-    total = per_class.agg(
-        F.sum("n_rows").alias("all_rows"),
-        F.sum("n_markup").alias("all_markup"),
-        share(F.max("rate"), F.min("rate")).alias("spread"),
-    )
-    # Both sides have at most one row per class; ``total`` has exactly one.
-    return per_class.join(F.broadcast(total))
+    # One window over one row per class: the texts are scanned once.
+    every = Window.partitionBy(F.lit(0))
+    return per_class.withColumns({
+        "all_rows": F.sum("n_rows").over(every),
+        "all_markup": F.sum("n_markup").over(every),
+        "spread": share(F.max("rate").over(every), F.min("rate").over(every)),
+    })
 
 
 def entity_numbers(df: DataFrame, text: str = "text") -> DataFrame:

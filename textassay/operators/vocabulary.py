@@ -56,16 +56,21 @@ def vocabulary_size(df: DataFrame, groups: list[str], text: str = "text") -> Dat
 def vocabulary_difference(df: DataFrame, before: str = "text", after: str = "repaired") -> DataFrame:
     """Terms lost and terms gained, listed apart; a net figure hides one of them.
 
-    Both variants sit on one row, so a row sends on only the terms it changed and
-    those it kept once; presence is decided in a single aggregation.
+    Both variants sit on one row. A row sends each of its terms on once, marked as
+    kept, lost or gained there, and one aggregation decides for the corpus.
     """
-    sides = F.array(
-        F.struct(F.lit(1).alias("b"), F.lit(0).alias("a"), F.array_distinct(tokens(F.col(before))).alias("t")),
-        F.struct(F.lit(0).alias("b"), F.lit(1).alias("a"), F.array_distinct(tokens(F.col(after))).alias("t")),
+    both = df.select(
+        F.array_distinct(tokens(F.col(before))).alias("b"), F.array_distinct(tokens(F.col(after))).alias("a")
     )
+    marked = F.array(*[
+        F.struct(F.lit(in_before).alias("in_before"), F.lit(in_after).alias("in_after"), some.alias("t"))
+        for in_before, in_after, some in (
+            (1, 1, F.array_intersect("b", "a")), (1, 0, F.array_except("b", "a")), (0, 1, F.array_except("a", "b")),
+        )
+    ])
     seen = (
-        df.select(F.inline(sides)).select("b", "a", F.explode("t").alias("term"))
-        .groupBy("term").agg(F.sum("b").alias("df_before"), F.sum("a").alias("df_after"))
+        both.select(F.inline(marked)).select("in_before", "in_after", F.explode("t").alias("term"))
+        .groupBy("term").agg(F.sum("in_before").alias("df_before"), F.sum("in_after").alias("df_after"))
     )
     return seen.filter((F.col("df_before") == 0) | (F.col("df_after") == 0)).select(
         "term", F.when(F.col("df_after") == 0, "lost").otherwise("gained").alias("direction"),

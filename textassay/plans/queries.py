@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textassay.functions import patterns, repair, text
@@ -40,10 +40,9 @@ def exact_dupes(spark: SparkSession, folder: str) -> DataFrame:
 def class_balance(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per source against an even spread."""
     counts = checks.class_counts(inputs.table(spark, folder, "documents"), "source")
-    total = counts.agg(F.sum("n").alias("n_all"), F.count("*").alias("k"))
-    return counts.join(F.broadcast(total)).select(
-        "source", "n", (F.col("n") * F.col("k") == F.col("n_all")).alias("balanced")
-    )
+    every = Window.partitionBy(F.lit(0))
+    even = F.col("n") * F.count("*").over(every) == F.sum("n").over(every)
+    return counts.withColumn("balanced", even)
 
 
 def label_domain(spark: SparkSession, folder: str) -> DataFrame:
