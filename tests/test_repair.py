@@ -141,3 +141,8 @@ def test_whole_word_with_case_flag(spark):
 def test_strip_markup_and_body(spark):
     row = apply(spark, ["<b>hi</b> 2 < 3\nsecond\nthird"], repair.strip_markup, text.title_line, text.body_lines)[0]
     assert row == (" hi  2 < 3\nsecond\nthird", "<b>hi</b> 2 < 3", "second\nthird")
+
+
+def test_repair_of_one_number(spark):
+    row = apply(spark, ["Street #39;s gt; #36;5&#39;"], lambda c: repair.repair_number(c, 39))[0]
+    assert row == ("Street's gt; #36;5'",)

@@ -139,6 +139,12 @@ def repair(text: Column) -> Column:
     return with_value(restored, unescape)
 
 
+def repair_number(text: Column, number: int) -> Column:
+    """Repair one numeric entity and nothing else."""
+    restored = F.regexp_replace(text, rf"( ?)(?<!&)(#{number};)", "&$2")
+    return F.replace(restored, F.lit(f"&#{number};"), F.lit(chr(number)))
+
+
 def strip_markup(repaired: Column) -> Column:
     """Replace tags by a space; the variant for text that holds unescaped markup."""
     return F.regexp_replace(repaired, TAG, " ")

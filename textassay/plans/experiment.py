@@ -16,6 +16,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textassay.functions.repair import repair_number
 from textassay.operators import sampling, scores, vocabulary
 from textassay.plans import features
 from textassay.session import settle
@@ -122,13 +123,20 @@ def without_token(model: PipelineModel, token: str) -> PipelineModel:
 
 def token_ablation(df: DataFrame, token: str, labels: list, seeds=sampling.SEEDS, n: int = sampling.N_SAMPLE,
                    dirty: str = "text", repaired: str = "repaired", **options) -> DataFrame:
-    """Scores of A (dirty), Z (dirty, token silenced) and B (repaired test): deltas that telescope."""
+    """One entity's number as a token: what its weight does, apart from the rest of the repair.
+
+    All cells use the model of the dirty side. A: dirty test, Z: dirty test with the
+    token silenced, P: only this entity repaired, B: all repaired. A-Z and Z-B add up
+    to A-B.
+    """
+    df = df.withColumn("_partly", repair_number(F.col(dirty), int(token)))
     rows = []
     for seed in seeds:
-        split = draw(df, n, seed, [dirty, repaired])
+        split = draw(df, n, seed, [dirty, repaired, "_partly"])
         train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
         model = features.fit(train, dirty, labels, **options)
-        found = score_cells(model, test, [Cell("A", dirty, dirty), Cell("B", dirty, repaired)], labels)
+        plain = [Cell("A", dirty, dirty), Cell("P", dirty, "_partly"), Cell("B", dirty, repaired)]
+        found = score_cells(model, test, plain, labels)
         found |= score_cells(without_token(model, token), test, [Cell("Z", dirty, dirty)], labels)
         rows += [(seed, cell, score) for cell, score in found.items()]
     return df.sparkSession.createDataFrame(rows, "seed INT, cell STRING, value DOUBLE")

@@ -63,6 +63,7 @@ class EvenlyScaledLogistic(Estimator):
 
     ANCHOR = 0.5
     MIN_WIDTH = 2_000
+    ROWS_PER_TASK = 2_000
 
     def __init__(self, solver: LogisticRegression, c: float):
         super().__init__()
@@ -79,7 +80,11 @@ class EvenlyScaledLogistic(Estimator):
         anchors = dataset.sparkSession.createDataFrame(
             [(Vectors.dense(sign * signs), float(k), weight) for sign in (1, -1) for k in range(classes)], ANCHOR_SCHEMA
         )
+        # Each task of each iteration returns a full gradient, so a task gets rows enough to be worth it.
+        tasks = -(-n // self.ROWS_PER_TASK)
         weighted = rows.withColumn("weight", F.lit(1.0)).unionByName(anchors)
+        if tasks < weighted.rdd.getNumPartitions():
+            weighted = weighted.repartition(tasks)
         total = n + 2 * classes * weight
         return self.solver.setWeightCol("weight").setRegParam(1.0 / (self.c * total)).fit(weighted)
 
