@@ -24,8 +24,9 @@ from textassay.functions.text import with_value
 # The numbers that are repaired are 30-39 and 100-299. The
 # ampersand was replaced by one space, so one space is consumed, and an entity
 # that still has its ampersand does not get a second one.
-NUMERIC_REPAIR = r"( ?)(?<!&)(#(?:3[0-9]|1[0-9]{2}|2[0-9]{2});)"
-NAMED_REPAIR = r"( ?)(?<![&\p{L}\p{N}_])((?:" + NAMES_ALT + ");)"
+# The look back comes after the entity, so it runs only where there is one.
+NUMERIC_REPAIR = r" ?#(?<!&#)((?:3[0-9]|1[0-9]{2}|2[0-9]{2});)"
+NAMED_REPAIR = r" ?((?:" + NAMES_ALT + r");)(?<![&\p{L}\p{N}_](?:" + NAMES_ALT + r");)"
 REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 REPLACEMENT_CHARACTER = "\ufffd"
@@ -34,12 +35,12 @@ LAST_CODEPOINT = 0x10FFFF
 
 def restore_numeric(text: Column) -> Column:
     """``Ch #225;vez`` becomes ``Ch&#225;vez``."""
-    return F.regexp_replace(text, NUMERIC_REPAIR, "&$2")
+    return F.regexp_replace(text, NUMERIC_REPAIR, "&#$1")
 
 
 def restore_named(text: Column) -> Column:
     """``a gt; b`` becomes ``a&gt; b``."""
-    return F.regexp_replace(text, NAMED_REPAIR, "&$2")
+    return F.regexp_replace(text, NAMED_REPAIR, "&$1")
 
 
 def _codepoint_to_char(number: Column) -> Column:
