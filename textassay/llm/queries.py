@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textassay.llm import bpe, urls
+from pyspark.sql import functions as F
+
+from textassay.llm import bpe, phrases, simhash, urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,6 +27,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in 10-word windows of the benchmark, and from which items."""
+    found = phrases.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, winning rule and verdict of every page."""
     judged = urls.filter_urls(table(spark, folder, "pages"), URL_RULES)
@@ -37,13 +52,42 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op8_bpe": op8_bpe,
 }
 
 _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS phrase
+            FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0
+        ),
+        places AS (
+            SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS phrase
+            FROM docs, (SELECT DISTINCT n FROM windows) AS lengths, unnest(range(1, len(w) - n + 2)) AS t(s)
+        ),
+        hits AS (SELECT doc_id, s, n, item_id FROM places JOIN windows USING (n, phrase)),
+        counts AS (
+            SELECT doc_id, count(DISTINCT s + k) AS n_hit
+            FROM (SELECT DISTINCT doc_id, s, n FROM hits) AS h, unnest(range(0, n)) AS t(k) GROUP BY doc_id
+        ),
+        lists AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item_list
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS h GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(item_list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN lists USING (doc_id)
+    """,
     "op4_url_filter": f"""
         WITH rules(verdict, host, path) AS (VALUES {_RULE_ROWS}),
         rest AS (

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textassay.llm.common import ship
+
 # The trie is sent to every executor, so the list is bounded.
 MAX_RULES = 1_000_000
 _SCHEME = re.compile("://")
@@ -96,6 +98,7 @@ def filter_urls(
     rule null and the ``default`` verdict (an entry with empty host and empty path
     fits all URLs). Rows are kept as they are, repeated ones too.
     """
+    ship(df.sparkSession)
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
