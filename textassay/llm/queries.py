@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textassay.llm import bpe, phrases, simhash, urls
+from textassay.llm import bpe, phrases, simhash, token_files, urls, warc
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Allow and block entries (verdict, host, path).
@@ -46,16 +47,29 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as read back from the archives it was written to."""
+    index = warc.write_archives(table(spark, folder, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     return bpe.digests(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, as read back from the files."""
+    return token_files.read_ids(token_files.write_ids(table(spark, folder, "documents"), TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
+    "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
+    "op9_token_files": op9_token_files,
 }
 
 _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
