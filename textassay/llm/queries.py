@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textassay.llm import bpe, phrases, simhash, token_files, urls, warc
+from textassay.llm import bpe, html_text, phrases, quality, simhash, token_files, urls, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,16 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as read back from the archives it was written to."""
     index = warc.write_archives(table(spark, folder, "pages"))
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
+    "op5_main_text": op5_main_text,
+    "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
