@@ -1,13 +1,55 @@
-"""A corpus pipeline: each stage takes the documents its predecessor kept."""
+"""A corpus pipeline: each stage takes the documents its predecessor kept.
+
+Stages return the columns of ``documents``; the last returns the digests of the token ids.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textassay.llm import bpe
+from textassay.llm import bpe, phrases, quality, simhash, suffix
 from textassay.llm.queries import RANKS
-from textassay.session import settle
+from textassay.session import broadcast_checked, settle
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id (null included) is among ``ids``."""
+    gone = broadcast_checked(settle(ids.select(F.col("doc_id").alias("_gone")).distinct()))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers go. Rows that share a doc_id stand and fall together."""
+    return _without(docs, quality.judge(docs).filter("not kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Rows with a null doc_id go if their group has a document with an id.
+    """
+    groups = simhash.near_duplicates(docs)
+    return _without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose what earlier documents hold in strings of 50 bytes; n_chars is that of the new text.
+
+    All rows stay, those with nothing left too.
+    """
+    others = tuple(x for x in docs.columns if x not in ("doc_id", "text", "n_chars"))
+    kept = suffix.deduplicate(docs, texts=True, carried=others)
+    kind = docs.schema["n_chars"].dataType
+    new = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.char_length("kept").cast(kind)}
+    return kept.select(*(new.get(x, F.col(f"carried.`{x}`")).alias(x) for x in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with words inside a benchmark item's ten-word window go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, phrases.contamination(docs, benchmark).filter("contaminated"))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,15 +58,19 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", filter_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", remove_repeats),
+    ("decontamination", drop_contaminated),
     ("bpe", encode_bpe),
 ]
 
-# Array and model stages are beyond SQL; tests/llm compares the stages with brute force.
+# Most stages are beyond SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each result written and reread."""
+    """Apply the stages to ``documents``, each result written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))

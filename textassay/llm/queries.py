@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textassay.llm import bpe, html_text, phrases, quality, simhash, suffix, token_files, urls, warc
+from textassay.llm import bpe, html_text, licenses, phrases, quality, simhash, suffix, token_files, urls, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,6 +78,11 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_ids(token_files.write_ids(table(spark, folder, "documents"), TOKENIZER))
 
 
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses named in every document."""
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
+    "op10_licenses": op10_licenses,
 }
 
 _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)

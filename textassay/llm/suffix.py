@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textassay.llm.common import flat, mix, narrow, ship, slices, task_number
+from textassay.llm.common import flat, mix, ship, slices, task_number
 from textassay.llm.files import Output, new_folder, opened
 from textassay.session import settle
 
@@ -409,28 +409,36 @@ def _removed(shards: DataFrame, compared: DataFrame, parts: int, texts: bool) ->
     return rows.mapInArrow(task, "digest string, first long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def deduplicate(df: DataFrame, row_id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
+def deduplicate(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", texts: bool = False, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept.
 
     A byte goes if it lies in a 50-byte string of its text that a text with a smaller doc_id holds
     too; overlapping strings count and all are judged on the input. kept is the text without those
-    bytes, and without characters that lost some of theirs. Null and empty texts have no bytes;
-    texts under 50 bytes stay whole. Rows that share a doc_id never remove bytes from each other,
-    except that copies of one text stand and fall with its smallest doc_id; rows with a null doc_id
-    stay whole and remove nothing. doc_id must be an integer column. Other columns are ignored.
+    bytes, and without characters that lost some of theirs. Null and empty texts have no bytes (kept
+    is null for null); texts under 50 bytes stay whole. Rows that share a doc_id never remove bytes
+    from each other, except that copies of one text stand and fall with its smallest doc_id; rows with
+    a null doc_id stay whole and remove nothing. doc_id must be an integer column. ``carried`` columns
+    come along in a struct of that name; other columns are ignored.
     """
     ship(df.sparkSession)
-    rows = narrow(df, doc_id=row_id, text=text).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(
+        F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{x}`") for x in carried)).alias("carried")
+    )
     # Copies collapse before the shuffle, so a text that a third of the rows hold is one row per task.
     distinct = rows.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("first"))
     shards = _write_shards(distinct, new_folder(df.sparkSession, "shards"))
     count, total = shards.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    bits = min(24, max(8, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))) if total else 8)
+    bits = min(24, max(8, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))))
     parts = max(1, int(count))
     shared = settle(_shared_keys(shards, parts, bits))
     compared = _compared(shards, shared, parts, bits)
     found = _removed(shards, compared, parts, texts)
-    own = rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), *(["text"] if texts else []))
+    whole = F.coalesce("text", F.lit(""))
+    own = rows.select(
+        "doc_id", "carried", F.sha2(whole, 256).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"), *(["text"] if texts else [])
+    )
     joined = own.join(found, "digest", "left").withColumns({
         "whole": F.col("first").isNull() | F.col("doc_id").isNull(), "copy": F.col("doc_id") > F.col("first"),
     })
@@ -443,5 +451,5 @@ def deduplicate(df: DataFrame, row_id: str = "doc_id", text: str = "text", texts
         "doc_id", "n_bytes", choose(zero, F.col("n_bytes"), F.col("n_removed")).alias("n_removed"),
         choose(zero, F.lit(1).cast("long"), F.col("n_spans")).alias("n_spans"),
         choose(F.col("digest"), empty, F.col("kept_sha256")).alias("kept_sha256"),
-        *([choose(F.col("text"), F.lit(""), F.col("kept")).alias("kept")] if texts else []),
+        *([choose(F.col("text"), F.lit(""), F.col("kept")).alias("kept")] if texts else []), *(["carried"] if carried else []),
     )
