@@ -136,11 +136,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-@lru_cache(maxsize=4)
-def _loaded(path: str, pattern: str) -> tuple[Encoder, regex.Pattern]:
-    return Encoder(read_ranks(path)), regex.compile(pattern)
-
-
 class _Pieces(dict):
     """Ids of pieces as little-endian unsigned 32-bit integers, worked out when first asked for."""
 
@@ -161,7 +156,7 @@ class TextEncoder:
     """Splits whole texts by ``pattern`` and encodes each match by itself."""
 
     def __init__(self, path: str, pattern: str):
-        self.encoder, self.pattern = _loaded(path, pattern)
+        self.encoder, self.pattern = Encoder(read_ranks(path)), regex.compile(pattern)
         self.pieces = _Pieces(self.encoder)
 
     def encode(self, text: str | None) -> bytes:
@@ -172,6 +167,12 @@ class TextEncoder:
         return self.encoder.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str, pattern: str) -> TextEncoder:
+    """One encoder per worker; tasks that follow one another share its pieces."""
+    return TextEncoder(path, pattern)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array of int).
 
@@ -179,7 +180,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_id",
     give a row each. Only the two named columns are read.
     """
     def task(batches):
-        encoder = TextEncoder(ranks_path, pattern)
+        encoder = loaded(ranks_path, pattern)
         for part in slices(batches, "text", 1 << 20):
             ids = [encoder.encode(x) for x in part.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
@@ -208,7 +209,7 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_id"
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers. Cases as in ``encode``.
     """
     def task(batches):
-        encoder = TextEncoder(ranks_path, pattern)
+        encoder = loaded(ranks_path, pattern)
         for part in slices(batches, "text", 1 << 20):
             count, of_ids, of_bytes = [], [], []
             for value in part.column(1).to_pylist():

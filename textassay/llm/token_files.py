@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,13 @@ TRAINING_DOCUMENTS = 512
 TRAINING_CHARS = 16_384
 PARTITION_BYTES = 64 << 20
 FILE_BYTES = 128 << 20
-PIECE_MEMORY = 600_000
+# Pieces a worker remembers with their ids, about 200 bytes each.
+PIECE_MEMORY = 1_200_000
 PIECE_CHARS = 64
 _LEVEL = 3
 _TRAILER = struct.Struct("<8sI32sQQ")
 _MAGIC = b"IDSHARD1"
-_SPACE_BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 class Tokens:
@@ -66,27 +68,34 @@ class Tokens:
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.pieces: dict[str, bytes] = {}
 
-    def _bytes(self, encoded) -> bytes:
-        return np.array(encoded.ids, self.kind).tobytes()
+    def _parts(self, text: str) -> list[str]:
+        """Pieces of a text; the first, which no space precedes, is marked by a line feed."""
+        parts = text.split(" ") if self.cuts else [text]
+        if len(parts) > 1 and ("" in parts or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACES)):
+            parts = [text]
+        parts[0] = "\n" + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers."""
-        if not self.cuts:
-            return list(map(self._bytes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
-        plain = [not _SPACE_BESIDE_SPACE.search(text) for text in texts]
-        cut = [text.split(" ") if ok else [text] for text, ok in zip(texts, plain)]
-        whole = [parts[0] for parts in cut]
-        firsts = map(self._bytes, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
         known = self.pieces
         if len(known) > PIECE_MEMORY:
             known.clear()
-        missing = list({part for parts in cut for part in parts[1:] if part not in known})
-        fresh = self.tokenizer.encode_batch_fast([" " + part for part in missing], add_special_tokens=False)
-        now = dict(zip(missing, map(self._bytes, fresh)))
-        known.update((part, ids) for part, ids in now.items() if len(part) <= PIECE_CHARS)
-        long = {part: ids for part, ids in now.items() if len(part) > PIECE_CHARS}
-        find = (lambda part: known.get(part) or long[part]) if long else known.__getitem__
-        return [first + b"".join(map(find, parts[1:])) for first, parts in zip(firsts, cut)]
+        cut = list(map(self._parts, texts))
+        fresh = list(set(chain.from_iterable(cut)).difference(known))
+        encoded = self.tokenizer.encode_batch_fast([x[1:] if x[0] == "\n" else " " + x for x in fresh], add_special_tokens=False)
+        known.update(zip(fresh, (np.array(x.ids, self.kind).tobytes() for x in encoded)))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for piece in fresh:
+            if len(piece) > PIECE_CHARS:
+                del known[piece]
+        return out
+
+
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Tokens:
+    """One tokenizer per worker; tasks that follow one another share its pieces."""
+    return Tokens(path)
 
 
 def train_dictionary(df: DataFrame, tokenizer_path: str, row_id: str = "doc_id", text: str = "text") -> bytes:
@@ -99,7 +108,7 @@ def train_dictionary(df: DataFrame, tokenizer_path: str, row_id: str = "doc_id",
     sample = rows.select("text", F.xxhash64("text", "doc_id").alias("place")).orderBy("place").limit(TRAINING_DOCUMENTS)
 
     def task(batches):
-        tokens = Tokens(tokenizer_path)
+        tokens = loaded(tokenizer_path)
         samples = [ids for batch in batches for ids in tokens.encode(batch.column(0).to_pylist())]
         try:
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 7 else b""
@@ -163,7 +172,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, row_id: str = "doc_id", text:
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def task(batches):
-        tokens = Tokens(tokenizer_path)
+        tokens = loaded(tokenizer_path)
         squeeze = zstandard.ZstdCompressor(level=_LEVEL, **_dictionary(dictionary))
         end = np.array([END_ID], tokens.kind).tobytes()
         writer, files = None, []
