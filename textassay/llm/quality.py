@@ -87,7 +87,7 @@ def statistics(df: DataFrame, row_id: str = "doc_id", text: str = "text", lang:
     counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words")
 
     def task(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             data, offsets = flat(part.column(3))
             solid = NOT_SPACE[data]
             starts, ends = runs(solid, offsets)
@@ -123,7 +123,7 @@ def _group(lang, source):
 
 def _vectors(stats: DataFrame) -> DataFrame:
     """``stats`` with ``failed``, ``group`` and ``v``, five integers, settled."""
-    rows = stats.withColumns({"failed": base_failed(), "own": _group(F.col("lang"), F.col("source")), "of_lang": _group(F.col("lang"), F.lit(None).cast("string"))})
+    rows = settle(stats).withColumns({"failed": base_failed(), "own": _group(F.col("lang"), F.col("source")), "of_lang": _group(F.col("lang"), F.lit(None).cast("string"))})
     sizes = rows.filter("not failed").groupBy("own", "of_lang").agg(F.count("*").alias("n"))
     pooled = sizes.withColumn("few", F.col("n") < MIN_GROUP)
     by_lang = pooled.filter("few").groupBy("of_lang").agg((F.sum("n") < MIN_GROUP).alias("few_of_lang"))
