@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textassay.operators import keyed, neardup
 
-LOW, HIGH, TAU = 2, 30, 0.5
+LOW, PERCENT, TAU = 2, 20, 0.5
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def brute(texts):
     df = Counter(term for c in counts.values() for term in c)
     vec = {}
     for i, c in counts.items():
-        w = {t: tf * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, tf in c.items() if LOW <= df[t] <= HIGH}
+        w = {t: tf * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, tf in c.items() if LOW <= df[t] and df[t] * 100 <= PERCENT * len(counts)}
         norm = math.sqrt(sum(x * x for x in w.values()))
         if w:
             vec[i] = {t: x / norm for t, x in w.items()}
@@ -60,7 +60,7 @@ def brute(texts):
 
 
 def test_counts_equal_brute_force(spark, df, brute, texts):
-    grouped = neardup.groups(df, low=LOW, high=HIGH)
+    grouped = neardup.groups(df, low=LOW, percent=PERCENT)
     pairs = neardup.similar_pairs(grouped, TAU)
     row = {r.threshold: r for r in neardup.sweep(grouped, pairs, (TAU, 0.9)).collect()}
     for t in (TAU, 0.9):
@@ -86,7 +86,7 @@ def test_counts_equal_brute_force(spark, df, brute, texts):
 def test_cross_split_equals_brute_force(df, brute):
     side = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
     sums = {f"n_{s}": (side == s).cast("bigint") for s in ("train", "test")}
-    grouped = neardup.groups(df, low=LOW, high=HIGH, sums=sums)
+    grouped = neardup.groups(df, low=LOW, percent=PERCENT, sums=sums)
     got = neardup.cross_split(grouped, neardup.similar_pairs(grouped, TAU)).first().n_cross_pairs
     assert got == sum((a % 5 == 0) != (b % 5 == 0) for a, b, _ in brute)
 

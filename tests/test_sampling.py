@@ -22,10 +22,8 @@ def rows(spark):
     return spark.range(1003).withColumnRenamed("id", "doc_id").withColumn("label", label.cast("int")).repartition(7)
 
 
-@pytest.mark.parametrize("top_n", [10_000, 10])
 @pytest.mark.parametrize("n", [1, 37, 500, 1002])
-def test_sample_is_exact_on_both_paths(rows, monkeypatch, top_n, n):
-    monkeypatch.setattr(sampling, "TOP_N_ROWS", top_n)
+def test_sample_is_exact(rows, n):
     got = {row.doc_id for row in sampling.sample_n(rows, n, 3).collect()}
     assert got == set(sorted(range(1003), key=lambda i: place(i, 3))[:n])
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from textassay.functions import patterns
-from textassay.operators import checks, corruption
+from textassay.functions import patterns, repair
+from textassay.operators import checks, corruption, neardup, sampling
+from textassay.plans import experiment
 from textassay.sources import corpus, results
 
 LINES = [
@@ -91,3 +92,28 @@ def test_union_fills_absent_columns(spark):
     both = results.union_results(spark.range(1).toDF("id"), spark.range(1).toDF("id").withColumn("x", F.lit(2)))
     assert sorted(r.x or 0 for r in both.collect()) == [0, 2]
     assert results.as_json(both).count() == 2
+
+
+def test_row_ids_are_unique_and_depend_on_content_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "COPIES_PER_TASK", 4)
+    lines = [*LINES, *[LINES[2]] * 30, '1,,""', "1,b,a"]
+    found = corpus.read_labelled_csv(spark, write(tmp_path, lines)).collect()
+    assert len(found) == len(lines) and len({r.doc_id for r in found}) == len(lines)
+    again = corpus.read_labelled_csv(spark, write(tmp_path, lines[::-1], "reversed.csv")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+
+
+def test_a_loaded_corpus_runs_through_the_library(spark, tmp_path):
+    """Load, repair, sample, compare and fingerprint, as the README shows it."""
+    topics = {1: "army border treaty", 2: "match goal league", 3: "stock price market", 4: "chip code robot"}
+    lines = [f"{label},{words.split()[k % 3]} {k},{words} #39;s number{k % 7} {words}" for label, words in topics.items() for k in range(30)]
+    lines += [lines[0]] * 3
+    df = corpus.read_labelled_csv(spark, write(tmp_path, lines))
+    both = df.withColumn("repaired", repair.repair(F.col("text")))
+    found = experiment.run_cells(both, experiment.two_by_two(), "check", [1, 2, 3, 4], seeds=(0, 1), n=100, kind="bayes")
+    experiment.check_run(found)
+    assert {r.cell for r in found.collect()} == {"A", "B", "C", "D"}
+    assert len(experiment.summary(found).collect()) == 4
+    assert sampling.fingerprint(both, []).count() == 1
+    grouped = neardup.groups(both, percent=100)
+    assert grouped.agg(F.sum("n")).first()[0] == len(lines)

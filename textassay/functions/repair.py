@@ -8,15 +8,11 @@ is written out here.
 
 from __future__ import annotations
 
-import html
 import json
-from collections.abc import Iterator
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from textassay.functions.patterns import NAMES_ALT, TAG
 from textassay.functions.text import with_value
@@ -125,13 +121,6 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), with_value(F.split(text, "&"), joined)).otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def unescape_arrow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The standard library's unescape over Arrow batches; the cross-check of ``unescape``."""
-    for batch in batches:
-        yield batch.map(html.unescape, na_action="ignore")
-
-
 def repair(text: Column) -> Column:
     """Numeric pass, named pass, one unescape, in that order."""
     restored = F.when(

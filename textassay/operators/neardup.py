@@ -2,10 +2,11 @@
 
 Equal texts, and texts with equal vectors, are collapsed first and enter the
 counts as products of their sizes, so a group of copies that fills a third of the
-corpus costs one row. Terms outside the band ``low <= df <= high`` are not part of
-the similarity: that is the operator's definition, and it bounds the rows per
-term. Within the band most pairs are ruled out by a bound on a few rare terms, which
-loses no pair.
+corpus costs one row. Terms in fewer than ``low`` distinct texts, or in more than
+``percent`` of them, are not part of the similarity: that is the operator's definition.
+The upper bound is a share, so two texts keep their similarity when the corpus grows by
+more of the same. Within the band most pairs are ruled out by a bound on a few rare
+terms, which loses no pair.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from textassay.operators.vocabulary import counted_tokens, smooth_idf
 from textassay.session import settle
 
 LOW_DF = 2
-HIGH_DF = 1000
+HIGH_PERCENT = 10
 THRESHOLD = 0.8
 SWEEP = (0.6, 0.7, 0.8, 0.9)
 PRECISION_SAMPLE = 100
@@ -47,28 +48,37 @@ def term_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode("_terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def blocking_cost(frequencies: DataFrame, low: int = LOW_DF, high: int = HIGH_DF) -> DataFrame:
-    """Terms and term pairs inside and outside the band, before anything is joined."""
+def is_frequent(percent: int) -> Column:
+    """Whether a term is in more than ``percent`` of the distinct texts."""
+    return F.col("df") * 100 > F.col("n_texts") * percent
+
+
+def blocking_cost(frequencies: DataFrame, n_texts: DataFrame, low: int = LOW_DF, percent: int = HIGH_PERCENT) -> DataFrame:
+    """Terms and term pairs inside and outside the band, before anything is joined.
+
+    ``n_texts`` is one row with the number of distinct texts.
+    """
     df = F.col("df")
-    band = F.when(df < low, "below").when(df > high, "above").otherwise("band")
-    return frequencies.groupBy(band.alias("part")).agg(
+    band = F.when(df < low, "below").when(is_frequent(percent), "above").otherwise("band")
+    return frequencies.join(F.broadcast(n_texts)).groupBy(band.alias("part")).agg(
         F.count("*").alias("n_terms"), F.sum(df).alias("n_postings"), F.sum(F.expr("df * (df - 1) div 2")).alias("n_pairs")
     )
 
 
-def vectors(rows: DataFrame, frequencies: DataFrame, n_texts: DataFrame, low: int, high: int) -> DataFrame:
+def vectors(rows: DataFrame, frequencies: DataFrame, n_texts: DataFrame, low: int, percent: int) -> DataFrame:
     """Unit vectors over the band: ``id`` and ``vec``, rarest term first.
 
     ``rows`` has ``id`` and ``_terms``. Rows without a band term have no vector.
     """
-    band = frequencies.filter(F.col("df").between(low, high))
+    sized = frequencies.join(F.broadcast(n_texts))
+    band = sized.filter((F.col("df") >= low) & ~is_frequent(percent))
     postings = rows.select("id", F.inline("_terms"))
     # Frequent terms leave before the shuffle. Fewer than 10,000 can be that frequent.
     above = heavy_keys(frequencies, "term", "df").join(
-        frequencies.filter(F.col("df") > high).select("term"), "term", "left_semi"
+        sized.filter(is_frequent(percent)).select("term"), "term", "left_semi"
     )
     postings = postings.join(F.broadcast(above.select("term")), "term", "left_anti")
-    weighted = join_by_frequency(postings, band, "term", "df", "id").join(F.broadcast(n_texts)).withColumn(
+    weighted = join_by_frequency(postings, band, "term", "df", "id").withColumn(
         "w", F.col("tf") * smooth_idf(F.col("n_texts"), F.col("df"))
     )
     collected = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "tf", "w"))).alias("vec"))
@@ -81,7 +91,7 @@ def vectors(rows: DataFrame, frequencies: DataFrame, n_texts: DataFrame, low: in
     return collected.select("id", with_value(norm, scaled).alias("vec"))
 
 
-def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", low: int = LOW_DF, high: int = HIGH_DF,
+def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", low: int = LOW_DF, percent: int = HIGH_PERCENT,
            sums: dict[str, Column] | None = None) -> DataFrame:
     """One settled row per distinct vector: ``id``, ``n`` rows, extra sums, ``vec``.
 
@@ -91,7 +101,7 @@ def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", low: int =
     texts = settle(distinct_texts(df, text, row_id, sums))
     frequencies = settle(term_frequencies(texts))
     n_texts = texts.agg(F.count("*").alias("n_texts"))
-    vec = settle(vectors(texts, frequencies, n_texts, low, high))
+    vec = settle(vectors(texts, frequencies, n_texts, low, percent))
     parts = F.transform("vec", lambda e: F.concat_ws(":", e["term"], e["tf"].cast("string")))
     key = F.coalesce(F.sha2(F.array_join(parts, ",").cast("binary"), 256), F.concat(F.lit("id:"), F.col("id")))
     merged = (
@@ -210,7 +220,7 @@ def title_pairs(df: DataFrame, max_count: int = 3, title: str = "title", row_id:
     )))
 
 
-def title_recall(df: DataFrame, threshold: float = THRESHOLD, low: int = LOW_DF, high: int = HIGH_DF,
+def title_recall(df: DataFrame, threshold: float = THRESHOLD, low: int = LOW_DF, percent: int = HIGH_PERCENT,
                  title: str = "title", scored: str = "description", row_id: str = "doc_id") -> DataFrame:
     """Share of same-title pairs found by the similarity of the other field alone."""
     texts = settle(distinct_texts(df, scored, row_id))
@@ -219,7 +229,7 @@ def title_recall(df: DataFrame, threshold: float = THRESHOLD, low: int = LOW_DF,
     ids = truth.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = df.select(F.col(row_id).alias("id"), F.col(scored).alias("_s")).join(ids, "id")
     vec = vectors(rows.select("id", counted_tokens(F.col("_s")).alias("_terms")), frequencies,
-                  texts.agg(F.count("*").alias("n_texts")), low, high)
+                  texts.agg(F.count("*").alias("n_texts")), low, percent)
     keys = rows.select("id", digest("_s").alias("d"))
     scoredp = cosines(truth, vec)
     for side in ("a", "b"):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textassay.functions.numbers import share
 from textassay.functions.text import input_flags, tokens, with_value
 from textassay.operators.keyed import join_by_frequency
+from textassay.session import broadcast_checked, settle
 
 
 def terms(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -86,7 +87,7 @@ def smooth_idf(n_rows: Column, df: Column) -> Column:
 def tfidf(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """L2-normalised smooth TF-IDF as a long table; the vocabulary is not truncated."""
     counts = term_counts(df, text, row_id)
-    frequencies = counts.groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = settle(counts.groupBy("term").agg(F.count("*").alias("df")))
     size = df.agg(F.count("*").alias("n_rows"))
     weighted = join_by_frequency(counts, frequencies, "term", "df", row_id).join(F.broadcast(size)).withColumn(
         "w", F.col("tf") * smooth_idf(F.col("n_rows"), F.col("df"))
@@ -102,9 +103,8 @@ def class_log_odds(df: DataFrame, text: str = "text", column: str = "class_name"
     per_class = terms(df, text, [column]).groupBy("term", column).agg(F.count("*").alias("n_in"))
     sizes = df.groupBy(column).agg(F.count("*").alias("rows_in"))
     both = Window.partitionBy("term")
-    all_rows = F.sum("rows_in").over(Window.partitionBy(F.lit(0)))
-    # One row per class: bounded by the label domain.
-    sizes = F.broadcast(sizes.withColumn("rows_all", all_rows))
+    # One row per class; the caller names the column, so its size is checked.
+    sizes = broadcast_checked(settle(sizes.join(F.broadcast(df.agg(F.count("*").alias("rows_all"))))))
 
     def log_odds(hits, rows):
         return F.log((hits + 0.5) / (rows - hits + 0.5))
@@ -124,7 +124,7 @@ def out_of_vocabulary(df: DataFrame, known: DataFrame, text: str = "text", row_i
     share.
     """
     counts = term_counts(df, text, row_id)
-    frequencies = (
+    frequencies = settle(
         counts.groupBy("term").agg(F.count("*").alias("df"))
         .join(known.select("term", F.lit(True).alias("known")), "term", "left")
     )

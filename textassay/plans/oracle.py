@@ -21,7 +21,7 @@ WORDS = r"[\p{L}\p{N}_]"
 NUM = r"#\p{Nd}{2,4};"
 REPAIRABLE = r"#(?:3[0-9]|1[0-9]{2}|2[0-9]{2});"
 NAMED = f"(?:{NAMES_ALT});"
-LOW, HIGH, TAU = 2, 100, 0.6
+LOW, PERCENT, TAU = 2, 10, 0.6
 MARKERS = SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 
@@ -174,13 +174,13 @@ summary AS (SELECT "left", "right", avg(d) AS mean, stddev_samp(d) AS sd, count(
     {count_if('d > 0')} AS pos, {count_if('d = 0')} AS zero FROM deltas GROUP BY 1, 2)"""
 
 
-def near(text: str, source: str = "corpus", low: int = LOW, high: int = HIGH, sides: str = "") -> str:
+def near(text: str, source: str = "corpus", low: int = LOW, percent: int = PERCENT, sides: str = "") -> str:
     """Brute force: every common band term of every pair of distinct texts."""
     return f"""texts AS (SELECT min(doc_id) AS id, count(*) AS n{sides}, {text} AS t FROM {source} GROUP BY {text}),
 postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens('t')}) AS term FROM texts) GROUP BY 1, 2),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 weighted AS (SELECT id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS w
-    FROM postings JOIN freq USING (term) WHERE df BETWEEN {low} AND {high}),
+    FROM postings JOIN freq USING (term) WHERE df >= {low} AND df * 100 <= (SELECT count(*) FROM texts) * {percent}),
 unit AS (SELECT id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighted),
 keyed AS (SELECT id, string_agg(term || ':' || tf, ',' ORDER BY term) AS key FROM unit GROUP BY 1),
 grp AS (SELECT min(id) AS id, sum(n)::BIGINT AS n{sides.replace('count_if', 'sum').replace("(side = 'train')", '(n_train)').replace("(side = 'test')", '(n_test)')}
@@ -349,8 +349,9 @@ ORACLE = {
         CASE WHEN lost > 0 THEN n_corrupted::DOUBLE / lost::DOUBLE END AS corrupted_share,
         CASE WHEN kept > 0 THEN n_genuine::DOUBLE / kept::DOUBLE END AS genuine_share,
         lost::DOUBLE / greatest(kept, 1)::DOUBLE AS corrupted_per_genuine FROM s""",
-    "vocab_diff": f"""WITH {DIRTY}, b AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM dirty) GROUP BY 1),
-        a AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('repaired')})) AS term FROM dirty) GROUP BY 1)
+    "vocab_diff": f"""WITH {DIRTY}, forms AS MATERIALIZED (SELECT text, repaired FROM dirty),
+        b AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM forms) GROUP BY 1),
+        a AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('repaired')})) AS term FROM forms) GROUP BY 1)
         SELECT term, 'lost' AS direction, df FROM b ANTI JOIN a USING (term) UNION ALL
         SELECT term, 'gained', df FROM a ANTI JOIN b USING (term)""",
     "vocab_size": f"""WITH {CORPUS} SELECT class_name, count(DISTINCT term) AS vocab_size FROM (
@@ -429,7 +430,7 @@ ORACLE = {
     "results_union": f"""WITH {SCORES} SELECT 'dummy' AS experiment, cell, seed, round(value, 6) AS macro_f1, NULL::BIGINT AS vocab_size FROM scores
         UNION ALL SELECT 'vocabulary', class_name, NULL, NULL, count(DISTINCT term) FROM (
         SELECT class_name, unnest({tokens('text')}) AS term FROM corpus) GROUP BY class_name""",
-    "neardup_cost": f"""WITH {NEAR} SELECT CASE WHEN df < {LOW} THEN 'below' WHEN df > {HIGH} THEN 'above' ELSE 'band' END AS part,
+    "neardup_cost": f"""WITH {NEAR} SELECT CASE WHEN df < {LOW} THEN 'below' WHEN df * 100 > (SELECT count(*) FROM texts) * {PERCENT} THEN 'above' ELSE 'band' END AS part,
         count(*) AS n_terms, sum(df)::BIGINT AS n_postings, sum(df * (df - 1) // 2)::BIGINT AS n_pairs FROM freq GROUP BY 1""",
     "neardup_pairs": f"WITH {NEAR} SELECT a, b, round(cosine, 6) AS cosine FROM pairs",
     "neardup_group_sizes": f"WITH {NEAR} SELECT id, n FROM grp WHERE n > 1",

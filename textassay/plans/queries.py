@@ -17,7 +17,7 @@ from textassay.session import settle, shared_folder
 from textassay.sources import results
 
 DIGITS = 6
-BAND = {"low": 2, "high": 100}
+BAND = {"low": 2, "percent": 10}
 THRESHOLD = 0.6
 SEEDS = sampling.SEEDS
 
@@ -40,9 +40,9 @@ def exact_dupes(spark: SparkSession, folder: str) -> DataFrame:
 def class_balance(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per source against an even spread."""
     counts = checks.class_counts(inputs.table(spark, folder, "documents"), "source")
-    every = Window.partitionBy(F.lit(0))
-    even = F.col("n") * F.count("*").over(every) == F.sum("n").over(every)
-    return counts.withColumn("balanced", even)
+    every = counts.agg(F.count("*").alias("_sources"), F.sum("n").alias("_rows"))  # one row
+    balanced = (F.col("n") * F.col("_sources") == F.col("_rows")).alias("balanced")
+    return counts.join(F.broadcast(every)).select("source", "n", balanced)
 
 
 def label_domain(spark: SparkSession, folder: str) -> DataFrame:
@@ -411,7 +411,7 @@ def resample_floor(spark: SparkSession, folder: str) -> DataFrame:
 
 def neardup_cost(spark: SparkSession, folder: str) -> DataFrame:
     texts = settle(neardup.distinct_texts(inputs.corpus(spark, folder)))
-    return neardup.blocking_cost(neardup.term_frequencies(texts), **BAND)
+    return neardup.blocking_cost(neardup.term_frequencies(texts), texts.agg(F.count("*").alias("n_texts")), **BAND)
 
 
 def neardup_groups(spark: SparkSession, folder: str) -> DataFrame:
