@@ -53,6 +53,16 @@ def drop_ampersands(text: Column) -> Column:
     return text
 
 
+def glue_ampersands(text: Column) -> Column:
+    """Each run of ampersands becomes one bare entity, with no space before it."""
+    return F.regexp_replace(text, "&+", "amp;")
+
+
+def glued_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus with ampersands glued to the word before."""
+    return corpus(spark, folder).withColumn("text", glue_ampersands(F.col("text")))
+
+
 def dirty_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus with ``text`` in its dirty form, ``repaired`` and ``original``."""
     return corpus(spark, folder).withColumnRenamed("text", "original").withColumn(

@@ -99,6 +99,7 @@ CORPUS = f"""corpus AS (
 DIRTY = f"""{CORPUS}, dirty0 AS (SELECT doc_id, label, class_name, text AS original, {dirty('text')} AS text FROM corpus),
 dirty1 AS (SELECT *, {restored('text')} AS half FROM dirty0),
 dirty AS (SELECT doc_id, label, class_name, original, text, {unescaped('half')} AS repaired FROM dirty1)"""
+GLUED = f"{CORPUS}, glued AS (SELECT doc_id, class_name, regexp_replace(text, '&+', 'amp;', 'g') AS text FROM corpus)"
 PAGE_CLASS = """regexp_extract(html, 'lang="(..)"', 1)"""
 PAGES = f"""pages1 AS (SELECT page_id, {PAGE_CLASS} AS class_name, url,
     regexp_replace(html, '&(amp|quot);', ' \\1;', 'g') AS half FROM pages),
@@ -297,14 +298,19 @@ ORACLE = {
     "pattern_counts_documents": pattern_counts(DIRTY, "dirty"),
     "corruption_by_class": f"WITH {by_class(DIRTY, 'dirty')} SELECT * FROM rated",
     "corruption_by_page_class": f"WITH {by_class(PAGES, 'pages2')} SELECT * FROM rated",
-    "provenance_grid": f"""WITH {CORPUS}, cut AS (SELECT replace(replace(title, '&', 'amp;'), '$', '#36;') AS title,
-        replace(replace(description, '&', 'amp;'), '$', '#36;') AS description FROM corpus),
+    "provenance_grid": f"""WITH {CORPUS}, cut AS (SELECT regexp_replace(title, '&+', 'amp;', 'g') AS title,
+        regexp_replace(description, '&+', 'amp;', 'g') AS description FROM corpus),
         forms AS (SELECT true AS stripped, {STRIP.format('title')} || ' ' || {STRIP.format('description')} AS t FROM cut
         UNION ALL SELECT false, title || ' ' || description FROM cut)
         SELECT stripped, 'canonical' AS pattern, {count_if(corrupt('t'))} AS n_hits FROM forms GROUP BY 1
         UNION ALL SELECT stripped, 'loose', {count_if(loose('t'))} FROM forms GROUP BY 1""",
-    "loose_minus_strict": f"""WITH p AS (SELECT page_id, {PAGE_CLASS} AS class_name, replace(html, '&', '') AS text FROM pages)
-        SELECT page_id, class_name, md5(text) AS text_md5 FROM p WHERE {loose('text')} AND NOT {corrupt('text')}""",
+    "pattern_counts_glued": pattern_counts(GLUED, "glued"),
+    "word_rows": """SELECT lang, count_if(regexp_matches(text, '(?:^|[^\p{L}\p{N}_])The(?:$|[^\p{L}\p{N}_])')) AS n_cased,
+        count_if(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])')) AS n_any_case FROM documents GROUP BY 1""",
+    "label_rows_contract": """SELECT count(*) AS n_rows, count(DISTINCT doc_id) = count(*) AS unique_ids,
+        count_if(quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS n_outside FROM labels""",
+    "loose_minus_strict": f"""WITH {GLUED}
+        SELECT doc_id, class_name, md5(text) AS text_md5 FROM glued WHERE {loose('text')} AND NOT {corrupt('text')}""",
     "markup_by_class": f"""WITH {ESCAPED_PAGES}, c AS (SELECT class_name, count(*) AS n_rows, {count_if(markup('text'))} AS n_markup,
         {count_if(markup('text') + ' AND ' + intact('text'))} AS n_also_intact FROM pages3 GROUP BY 1),
         r AS (SELECT *, n_markup::DOUBLE / n_rows AS rate FROM c)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textassay.functions import patterns, repair, text
@@ -65,6 +66,29 @@ def pattern_counts_documents(spark: SparkSession, folder: str) -> DataFrame:
     return corruption.pattern_counts(inputs.dirty_corpus(spark, folder))
 
 
+def pattern_counts_glued(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with glued entities, where the loose pattern finds more than the strict one."""
+    return corruption.pattern_counts(inputs.glued_corpus(spark, folder))
+
+
+def word_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per language with a whole word, in its own case and in any."""
+    docs = inputs.table(spark, folder, "documents")
+    return docs.groupBy("lang").agg(
+        F.count_if(patterns.has_word(F.col("text"), "The")).alias("n_cased"),
+        F.count_if(patterns.has_word(F.col("text"), "The", case_sensitive=False)).alias("n_any_case"),
+    )
+
+
+def label_rows_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, distinct ids and label domain of the labels table in one aggregate."""
+    labels = inputs.table(spark, folder, "labels")
+    return labels.agg(
+        F.count("*").alias("n_rows"), (F.count_distinct("doc_id") == F.count("*")).alias("unique_ids"),
+        F.count_if(~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)).alias("n_outside"),
+    )
+
+
 def corruption_by_class(spark: SparkSession, folder: str) -> DataFrame:
     return corruption.rate_by_class(inputs.dirty_corpus(spark, folder), patterns.corrupt(F.col("text")))
 
@@ -74,19 +98,15 @@ def corruption_by_page_class(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def provenance_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Strip on/off x pattern, on documents whose ampersands were deleted without a trace."""
-    deleted = [F.replace(F.replace(name, F.lit("&"), F.lit("amp;")), F.lit("$"), F.lit("#36;")).alias(name)
-               for name in ("title", "description")]
+    """Strip on/off x pattern, on documents whose runs of ampersands turned into one glued entity."""
+    deleted = [inputs.glue_ampersands(F.col(name)).alias(name) for name in ("title", "description")]
     return corruption.provenance_grid(inputs.corpus(spark, folder).select(*deleted))
 
 
 def loose_minus_strict(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages whose ampersands were deleted without a space: ``wordamp;`` is loose only."""
-    pages = inputs.table(spark, folder, "pages").select(
-        "page_id", F.regexp_extract("html", 'lang="(..)"', 1).alias("class_name"),
-        F.replace("html", F.lit("&"), F.lit("")).alias("text"),
-    )
-    return corruption.loose_only(pages).select("page_id", "class_name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """Documents whose ampersands were glued to the word before: ``wordamp;`` is loose only."""
+    glued = inputs.glued_corpus(spark, folder)
+    return corruption.loose_only(glued).select("doc_id", "class_name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def markup_by_class(spark: SparkSession, folder: str) -> DataFrame:
@@ -356,12 +376,12 @@ def train_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Vocabulary sizes per seed and cell: A, B from dirty and C, D from repaired training text."""
     rows = inputs.dirty_corpus(spark, folder).select("doc_id", "label", "text", "repaired")
     train = sampling.stratified_split(rows).filter("side = 'train'")
-    sides = []
-    for column, cells in (("text", "AB"), ("repaired", "CD")):
-        size = vocabulary.vocabulary_size(train, ["seed"], column)
-        cell = F.explode(F.array(*[F.lit(c) for c in cells])).alias("cell")
-        sides.append(size.select("seed", cell, F.col("vocab_size").alias("value")))
-    return sides[0].unionByName(sides[1])
+    train = settle(train.select("seed", "text", "repaired"))
+    sizes = [
+        vocabulary.vocabulary_size(train, ["seed"], cell.train).select("seed", F.lit(cell.name).alias("cell"), F.col("vocab_size").alias("value"))
+        for cell in experiment.two_by_two()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 def train_vocab_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -569,10 +589,9 @@ def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def confident_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles of the whole corpus scored by the model for full texts."""
-    model, _, _ = fitted(spark, folder)
-    rows = variants(spark, folder).select("doc_id", "label", F.col("title").alias("text"))
-    found = experiment.confident_errors(features.predict(model, rows, "text", LABELS))
+    """Wrong rows of the test side, on its own text column."""
+    model, _, test = fitted(spark, folder)
+    found = experiment.confident_errors(features.predict(model, test, "repaired", LABELS))
     return found.select("doc_id", "label", "prediction", "confidence")
 
 
@@ -612,7 +631,7 @@ MODELS = [
 
 RELATIONAL = [
     corpus_profile, exact_dupes, class_balance, label_domain, class_sum_identity,
-    pattern_counts, pattern_counts_documents, corruption_by_class, corruption_by_page_class, provenance_grid,
+    pattern_counts, pattern_counts_documents, pattern_counts_glued, word_rows, label_rows_contract, corruption_by_class, corruption_by_page_class, provenance_grid,
     loose_minus_strict, markup_by_class, entity_census, unrepaired_census, row_vs_occurrence_share, class_skew,
     rate_interval, repair_text, unescape_text, markup_strip,
     tokens_df, token_streams, collision_table, collision_case_diff, collision_targets, class_profile, vocab_diff,
