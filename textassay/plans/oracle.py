@@ -305,7 +305,7 @@ ORACLE = {
         SELECT stripped, 'canonical' AS pattern, {count_if(corrupt('t'))} AS n_hits FROM forms GROUP BY 1
         UNION ALL SELECT stripped, 'loose', {count_if(loose('t'))} FROM forms GROUP BY 1""",
     "pattern_counts_glued": pattern_counts(GLUED, "glued"),
-    "word_rows": """SELECT lang, count_if(regexp_matches(text, '(?:^|[^\p{L}\p{N}_])The(?:$|[^\p{L}\p{N}_])')) AS n_cased,
+    "word_rows": r"""SELECT lang, count_if(regexp_matches(text, '(?:^|[^\p{L}\p{N}_])The(?:$|[^\p{L}\p{N}_])')) AS n_cased,
         count_if(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])')) AS n_any_case FROM documents GROUP BY 1""",
     "label_rows_contract": """SELECT count(*) AS n_rows, count(DISTINCT doc_id) = count(*) AS unique_ids,
         count_if(quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS n_outside FROM labels""",

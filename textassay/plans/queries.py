@@ -492,7 +492,6 @@ def heldout_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 # Models. A fit is a sampling experiment: at most N_SAMPLE rows of the table per seed.
 
-FIT = {"max_iter": 40}
 MODEL_SEEDS = (0, 1)
 LABELS = sorted(inputs.LANGUAGES)
 
@@ -517,7 +516,7 @@ def bayes_run(df: DataFrame, cells: list, name: str) -> DataFrame:
 
 
 def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    found = run(variants(spark, folder), experiment.two_by_two(), "corruption_2x2", **FIT)
+    found = run(variants(spark, folder), experiment.two_by_two(), "corruption_2x2")
     experiment.check_run(found)
     return found
 
@@ -533,7 +532,7 @@ def bayes_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
     df = variants(spark, folder)
-    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df), **FIT)
+    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df))
 
 
 def markup_arms(spark: SparkSession, folder: str) -> DataFrame:
@@ -561,7 +560,7 @@ def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
     settings = {"default": {}, "min_df_2": {"min_df": 2}, "top_5000": {"max_features": 5000}, "c_10": {"c": 10.0, "min_df": 2}}
     cells = [experiment.Cell(name, "text", "text", options) for name, options in settings.items()]
     df = variants(spark, folder)
-    return experiment.run_cells(df, cells, "sweep", LABELS, (0,), sample_size(df), max_iter=20)
+    return experiment.run_cells(df, cells, "sweep", LABELS, (0,), sample_size(df))
 
 
 def bigram_arm(spark: SparkSession, folder: str) -> DataFrame:
@@ -570,7 +569,7 @@ def bigram_arm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contrast_models(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = {"logistic": {"max_iter": 20}, "svc": {"max_iter": 10}, "bayes": {}}
+    kinds = {"logistic": {}, "svc": {"max_iter": 100}, "bayes": {}}
     cells = [experiment.Cell(kind, "text", "text", {"kind": kind, "min_df": 2, **options}) for kind, options in kinds.items()]
     df = variants(spark, folder)
     return experiment.run_cells(df, cells, "contrast", LABELS, (0,), sample_size(df))
@@ -581,7 +580,7 @@ def fitted(spark: SparkSession, folder: str, text_column: str = "repaired", **op
     df = variants(spark, folder)
     split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"])
     train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
-    return features.fit(train, text_column, LABELS, **{**FIT, **options}), train, test
+    return features.fit(train, text_column, LABELS, **options), train, test
 
 
 def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -609,7 +608,7 @@ def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
     train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
     rows = []
     for name, column in (("dirty", "text"), ("repaired", "repaired")):
-        model = features.fit(train, column, LABELS, **FIT)
+        model = features.fit(train, column, LABELS)
         score = experiment.score_cells(model, test, [experiment.Cell("x", column, column)], LABELS)["x"]
         rate = corruption.rate_by_class(test.withColumn("all", F.lit("all")), patterns.corrupt(F.col(column)), "all").first()
         rows.append((name, score, rate.n_hits, rate.n_rows))
