@@ -437,7 +437,9 @@ def deduplicate(
     found = _removed(shards, compared, parts, texts)
     whole = F.coalesce("text", F.lit(""))
     own = rows.select(
-        "doc_id", "carried", F.sha2(whole, 256).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"), *(["text"] if texts else [])
+        "doc_id", "carried", F.sha2(whole, 256).alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"),
+        # Texts in a shard come back from there; only the others travel with their rows.
+        *([F.when((F.octet_length("text") < LENGTH) | F.col("doc_id").isNull(), F.col("text")).alias("text")] if texts else [])
     )
     joined = own.join(found, "digest", "left").withColumns({
         "whole": F.col("first").isNull() | F.col("doc_id").isNull(), "copy": F.col("doc_id") > F.col("first"),
