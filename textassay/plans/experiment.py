@@ -7,6 +7,7 @@ shares its training variant.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from textassay.functions.repair import repair_number
 from textassay.operators import sampling, scores, vocabulary
 from textassay.plans import features
-from textassay.session import settle
+from textassay.session import broadcast_checked, settle
 
 # Report sizes and the source markers of news text.
 CONFIDENT_ERRORS = 50
 TOP_TOKENS = 20
 SOURCE_MARKERS = r"\(AP\)|\(?Reuters\)?"
 
+Prepare = Callable[[DataFrame], DataFrame] | None
+
 RESULT_SCHEMA = ("experiment STRING, cell STRING, train STRING, test STRING, seed INT, n INT, "
                  "macro_f1 DOUBLE, vocab_size INT, test_idx_sha1 STRING")
 
@@ -45,20 +48,27 @@ def two_by_two(dirty: str = "text", repaired: str = "repaired") -> list[Cell]:
     return [Cell("A", dirty, dirty), Cell("B", dirty, repaired), Cell("C", repaired, dirty), Cell("D", repaired, repaired)]
 
 
-def draw(df: DataFrame, n: int, seed: int, columns: list[str], row_id: str = "doc_id") -> DataFrame:
-    """Sample, split and settle the rows of one seed with all text variants."""
-    sample = sampling.sample_n(df.select(row_id, "label", *columns), n, seed, row_id)
-    return settle(sampling.stratified_split(sample, row_id=row_id, seeds=(seed,)))
+def draw(df: DataFrame, n: int, seed: int, columns: list[str], row_id: str = "doc_id", prepare: Prepare = None) -> DataFrame:
+    """Sample, split and settle the rows of one seed with all text variants.
+
+    The sample is drawn from ids and labels alone. ``prepare`` adds the variants to the
+    rows that were drawn, so it never runs over the whole table.
+    """
+    sample = sampling.sample_n(df.select(row_id, "label"), n, seed, row_id)
+    split = settle(sampling.stratified_split(settle(sample), row_id=row_id, seeds=(seed,)))
+    rows = df.drop("label").join(broadcast_checked(split), row_id)
+    return settle((prepare(rows) if prepare else rows).select(row_id, "label", "seed", "side", *columns))
 
 
 def run_cells(df: DataFrame, cells: list[Cell], experiment: str, labels: list, seeds=sampling.SEEDS,
-              n: int = sampling.N_SAMPLE, kind: str = "logistic", row_id: str = "doc_id", **options) -> DataFrame:
-    """Result rows, one per seed and cell."""
+              n: int = sampling.N_SAMPLE, kind: str = "logistic", row_id: str = "doc_id", prepare: Prepare = None,
+              **options) -> DataFrame:
+    """Result rows, one per seed and cell; ``prepare`` adds the cells' columns to drawn rows."""
     spark = df.sparkSession
     columns = sorted({c for cell in cells for c in (cell.train, cell.test)})
     rows = []
     for seed in seeds:
-        split = draw(df, n, seed, columns, row_id)
+        split = draw(df, n, seed, columns, row_id, prepare)
         train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
         fingerprint = sampling.fingerprint(test, ["seed"], row_id).first().fingerprint
         for (column, fit_options), group in _by_fit(cells):
@@ -122,17 +132,20 @@ def without_token(model: PipelineModel, token: str) -> PipelineModel:
 
 
 def token_ablation(df: DataFrame, token: str, labels: list, seeds=sampling.SEEDS, n: int = sampling.N_SAMPLE,
-                   dirty: str = "text", repaired: str = "repaired", **options) -> DataFrame:
+                   dirty: str = "text", repaired: str = "repaired", prepare: Prepare = None, **options) -> DataFrame:
     """One entity's number as a token: what its weight does, apart from the rest of the repair.
 
     All cells use the model of the dirty side. A: dirty test, Z: dirty test with the
     token silenced, P: only this entity repaired, B: all repaired. A-Z and Z-B add up
     to A-B.
     """
-    df = df.withColumn("_partly", repair_number(F.col(dirty), int(token)))
+    def partly(drawn: DataFrame) -> DataFrame:
+        ready = prepare(drawn) if prepare else drawn
+        return ready.withColumn("_partly", repair_number(F.col(dirty), int(token)))
+
     rows = []
     for seed in seeds:
-        split = draw(df, n, seed, [dirty, repaired, "_partly"])
+        split = draw(df, n, seed, [dirty, repaired, "_partly"], prepare=partly)
         train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
         model = features.fit(train, dirty, labels, **options)
         plain = [Cell("A", dirty, dirty), Cell("P", dirty, "_partly"), Cell("B", dirty, repaired)]

@@ -63,13 +63,18 @@ def glued_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return corpus(spark, folder).withColumn("text", glue_ampersands(F.col("text")))
 
 
-def dirty_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus with ``text`` in its dirty form, ``repaired`` and ``original``."""
-    return corpus(spark, folder).withColumnRenamed("text", "original").withColumn(
+def with_dirty(rows: DataFrame) -> DataFrame:
+    """``text`` in its dirty form, ``repaired`` and ``original``."""
+    return rows.withColumnRenamed("text", "original").withColumn(
         "text", drop_ampersands(F.col("original"))
     ).withColumn("repaired", repair(F.col("text")))
 
 
+def dirty_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus with ``text`` in its dirty form, ``repaired`` and ``original``."""
+    return with_dirty(corpus(spark, folder))
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as a corpus: class from the lang attribute, text partly stripped of ampersands.
 

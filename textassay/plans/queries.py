@@ -496,54 +496,53 @@ MODEL_SEEDS = (0, 1)
 LABELS = sorted(inputs.LANGUAGES)
 
 
-def variants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text variant of the corpus on one row."""
-    return inputs.dirty_corpus(spark, folder).select("doc_id", "label", "text", "repaired", "title", "description")
-
-
 def sample_size(df: DataFrame) -> int:
     return min(sampling.N_SAMPLE, df.count())
 
 
-def run(df: DataFrame, cells: list, name: str, **options) -> DataFrame:
-    return experiment.run_cells(df, cells, name, LABELS, MODEL_SEEDS, sample_size(df), **options)
+def run(spark: SparkSession, folder: str, cells: list, name: str, seeds=MODEL_SEEDS, prepare=inputs.with_dirty, **options) -> DataFrame:
+    df = inputs.corpus(spark, folder)
+    return experiment.run_cells(df, cells, name, LABELS, seeds, sample_size(df), prepare=prepare, **options)
 
 
-def bayes_run(df: DataFrame, cells: list, name: str) -> DataFrame:
+def bayes_run(spark: SparkSession, folder: str, cells: list, name: str, prepare=inputs.with_dirty) -> DataFrame:
     """A naive-Bayes run: its fit is a count, so it has a SQL twin."""
-    found = run(df, cells, name, kind="bayes")
+    found = run(spark, folder, cells, name, prepare=prepare, kind="bayes")
     return rounded(found.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
 
 
 def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    found = run(variants(spark, folder), experiment.two_by_two(), "corruption_2x2")
+    found = run(spark, folder, experiment.two_by_two(), "corruption_2x2")
     experiment.check_run(found)
     return found
 
 
 def bayes_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    return bayes_run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2")
+    return bayes_run(spark, folder, experiment.two_by_two(), "bayes_2x2")
 
 
 def bayes_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    found = run(variants(spark, folder), experiment.two_by_two(), "bayes_2x2", kind="bayes")
+    found = run(spark, folder, experiment.two_by_two(), "bayes_2x2", kind="bayes")
     return rounded(experiment.summary(found).drop("line"), "mean", "sd")
 
 
 def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
-    df = variants(spark, folder)
-    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df))
+    df = inputs.corpus(spark, folder)
+    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df), prepare=inputs.with_dirty)
 
 
 def markup_arms(spark: SparkSession, folder: str) -> DataFrame:
     """Repair only against repair plus tag stripping."""
-    df = variants(spark, folder).withColumn("stripped", repair.strip_markup(F.col("repaired")))
-    return bayes_run(df, [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")], "markup_strip")
+    def stripped(rows: DataFrame) -> DataFrame:
+        return inputs.with_dirty(rows).withColumn("stripped", repair.strip_markup(F.col("repaired")))
+
+    cells = [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")]
+    return bayes_run(spark, folder, cells, "markup_strip", stripped)
 
 
 def field_ablation(spark: SparkSession, folder: str) -> DataFrame:
     cells = [experiment.Cell(n, c, c) for n, c in (("T", "title"), ("D", "description"), ("J", "text"))]
-    return bayes_run(variants(spark, folder), cells, "fields")
+    return bayes_run(spark, folder, cells, "fields")
 
 
 MARKERS = experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
@@ -551,34 +550,35 @@ MARKERS = experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 def marker_ablation(spark: SparkSession, folder: str) -> DataFrame:
     """With and without a source marker; licence lines are what documents have for one."""
-    df = variants(spark, folder).withColumn("unmarked", F.regexp_replace("text", MARKERS, " "))
-    return bayes_run(df, [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")], "markers")
+    def unmarked(rows: DataFrame) -> DataFrame:
+        return inputs.with_dirty(rows).withColumn("unmarked", F.regexp_replace("text", MARKERS, " "))
+
+    cells = [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")]
+    return bayes_run(spark, folder, cells, "markers", unmarked)
 
 
 def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Vectoriser and penalty settings, each a cell to compare with the default."""
     settings = {"default": {}, "min_df_2": {"min_df": 2}, "top_5000": {"max_features": 5000}, "c_10": {"c": 10.0, "min_df": 2}}
     cells = [experiment.Cell(name, "text", "text", options) for name, options in settings.items()]
-    df = variants(spark, folder)
-    return experiment.run_cells(df, cells, "sweep", LABELS, (0,), sample_size(df))
+    return run(spark, folder, cells, "sweep", (0,))
 
 
 def bigram_arm(spark: SparkSession, folder: str) -> DataFrame:
     cells = [experiment.Cell("1", "text", "text"), experiment.Cell("2", "text", "text", {"ngrams": 2, "min_df": 2})]
-    return run(variants(spark, folder), cells, "ngrams", kind="bayes")
+    return run(spark, folder, cells, "ngrams", kind="bayes")
 
 
 def contrast_models(spark: SparkSession, folder: str) -> DataFrame:
     kinds = {"logistic": {}, "svc": {"max_iter": 100}, "bayes": {}}
     cells = [experiment.Cell(kind, "text", "text", {"kind": kind, "min_df": 2, **options}) for kind, options in kinds.items()]
-    df = variants(spark, folder)
-    return experiment.run_cells(df, cells, "contrast", LABELS, (0,), sample_size(df))
+    return run(spark, folder, cells, "contrast", (0,))
 
 
 def fitted(spark: SparkSession, folder: str, text_column: str = "repaired", **options):
     """One model on the training side of seed 0, with both sides."""
-    df = variants(spark, folder)
-    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"])
+    df = inputs.corpus(spark, folder)
+    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"], prepare=inputs.with_dirty)
     train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
     return features.fit(train, text_column, LABELS, **options), train, test
 
@@ -603,8 +603,8 @@ def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Two numbers on the held-out side, dirty on dirty and repaired on repaired, with the artifact rate."""
-    df = variants(spark, folder)
-    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"])
+    df = inputs.corpus(spark, folder)
+    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"], prepare=inputs.with_dirty)
     train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
     rows = []
     for name, column in (("dirty", "text"), ("repaired", "repaired")):
@@ -616,7 +616,7 @@ def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    df = variants(spark, folder).select("doc_id", "label", "repaired")
+    df = inputs.dirty_corpus(spark, folder).select("doc_id", "label", "repaired")
     rows = df.count()
     ladder = [rows * step // 400_000 for step in sampling.LADDER]
     return experiment.learning_curve(df, LABELS, ladder, anchor_rows=rows // 5, seeds=(0,), kind="bayes")
