@@ -182,7 +182,7 @@ def _distance():
     for a in range(size):
         for b in range(size):
             total = total + off[a] * off[b] * F.get("precision", F.lit(size * a + b))
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total < 0, F.lit(0.0)).otherwise(total)  # null without an estimate
 
 
 def _concentrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
