@@ -464,6 +464,8 @@ ORACLE = {
         SELECT count(*) AS n_truth, {count_if('found')} AS n_found, {count_if('found')}::DOUBLE / count(*) AS recall FROM scored""",
     "heldout_distribution": f"""WITH {HELD} SELECT count(*) AS n_rows, {', '.join(f"{count_if(rule('text'))} AS {name}" for name, rule in PREDICATES.items())},
         min(length(text)) AS len_min, median(length(text)) AS len_median, max(length(text)) AS len_max FROM held""",
+    "experiment_2x2_cells": f"""WITH {bayes(TWO_BY_TWO)} SELECT cell, seed, (SELECT least(count(*), 5000) FROM documents) AS n,
+        vocab_size, test_idx_sha1, true AS converged FROM results""",
     "bayes_2x2": f"WITH {bayes(TWO_BY_TWO)} SELECT * FROM results",
     "bayes_2x2_deltas": f"""WITH {bayes(TWO_BY_TWO)}, pair AS (SELECT unnest(['A', 'C', 'A', 'B']) AS "left", unnest(['B', 'D', 'C', 'D']) AS "right"),
         d AS (SELECT "left", "right", l.value - r.value AS d FROM pair JOIN scores l ON l.cell = "left" JOIN scores r ON r.cell = "right" AND r.seed = l.seed),
