@@ -14,7 +14,7 @@ import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ TRAINING_CHARS = 16_384
 PARTITION_BYTES = 64 << 20
 FILE_BYTES = 128 << 20
 # Pieces a worker remembers with their ids, about 200 bytes each.
-PIECE_MEMORY = 1_200_000
+PIECE_MEMORY = 1_400_000
 PIECE_CHARS = 64
 _LEVEL = 3
 _TRAILER = struct.Struct("<8sI32sQQ")
@@ -80,7 +80,9 @@ class Tokens:
         """Ids of each text as little-endian unsigned integers."""
         known = self.pieces
         if len(known) > PIECE_MEMORY:
-            known.clear()
+            # Frequent pieces come early, so the later half goes.
+            for piece in list(islice(known, PIECE_MEMORY // 2, None)):
+                del known[piece]
         cut = list(map(self._parts, texts))
         fresh = list(set(chain.from_iterable(cut)).difference(known))
         encoded = self.tokenizer.encode_batch_fast([x[1:] if x[0] == "\n" else " " + x for x in fresh], add_special_tokens=False)
