@@ -171,6 +171,16 @@ def test_cut_texts_have_the_library_s_ids(texts):
     assert [np.frombuffer(x, TOKENS.kind).tolist() for x in TOKENS.encode(texts)] == expected
 
 
+def test_added_tokens_have_the_library_s_ids():
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"a{end}b c d", f"{end} {end}", end, f"no end of text <|endoftext| >\nand {end}\n", "a <|endoftext b"]
+    tokens = token_files.Tokens(queries.TOKENIZER)
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(x, tokens.kind).tolist() for x in tokens.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_id_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 2_000)
     ids = [None if k == 2 else (k * 7) % 19 - 3 for k in range(len(odd.TEXTS))]

@@ -44,12 +44,13 @@ _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 class Tokens:
-    """Ids of whole texts from the tokenizers library, without special tokens.
+    """Ids of whole texts from the tokenizers library as it is loaded; none are put around a text.
 
     A byte-level pre-tokenizer with its usual pattern always cuts before a single space that
     stands between two characters that are not white space. Texts are cut there, and each
     distinct piece is encoded once and remembered. Texts with other white space around a
-    space, and other kinds of tokenizers, go to the library as they are.
+    space, texts that hold the content of an added token, and other kinds of tokenizers, go to
+    the library as they are.
     """
 
     def __init__(self, path: str):
@@ -57,7 +58,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as source:
             parts = json.load(source)
         split = parts.get("pre_tokenizer") or {}
@@ -65,12 +65,14 @@ class Tokens:
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and parts.get("normalizer") is None and parts.get("post_processor") is None
         )
+        # An added token is found before texts are cut, so texts that may hold one are not cut.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.pieces: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
         """Pieces of a text; the first, which no space precedes, is marked by a line feed."""
-        parts = text.split(" ") if self.cuts else [text]
+        parts = text.split(" ") if self.cuts and not any(x in text for x in self.added) else [text]
         if len(parts) > 1 and ("" in parts or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACES)):
             parts = [text]
         parts[0] = "\n" + parts[0]
