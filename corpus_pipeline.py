@@ -6,6 +6,7 @@ Stages return the columns of ``documents``; the last returns the digests of the
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +15,56 @@ from textassay.llm.queries import RANKS
 from textassay.session import broadcast_checked, settle
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id (null included) is among ``ids``."""
-    gone = broadcast_checked(settle(ids.select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is files as they are read, with columns chosen or added, and nothing else."""
+    if "_metadata" in docs.columns or not hasattr(docs, "_jdf"):
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and len(docs.select("_metadata.row_index").columns) == 1
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for every row, and the name of that column.
+
+    The key of a row read from a file is the file and the row's place in it; other rows are settled
+    first, so that they keep the number they are given.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    try:
+        scan = _is_scan(docs)
+    except AnalysisException:  # files of a kind that does not number its rows
+        scan = False
+    if scan:
+        return docs.withColumn(name, F.concat_ws("#", "_metadata.row_index", "_metadata.file_path")), name
+    return settle(docs.withColumn(name, F.monotonically_increasing_id().cast("string"))), name
+
+
+def _without(keyed: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose key is the only column of ``gone``, and without the key."""
+    gone = broadcast_checked(settle(gone.toDF(name)))
+    return keyed.join(gone, name, "left_anti").drop(name)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are outliers go. Rows that share a doc_id stand and fall together."""
-    return _without(docs, quality.judge(docs).filter("not kept"))
+    """Documents that fail the base rules or are outliers go, each row by its own text."""
+    keyed, name = _keyed(docs)
+    return _without(keyed, name, quality.judge(keyed, row_id=name).filter("not kept").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays.
+    """Of each group of near-duplicates one row stays, that with the smallest doc_id.
 
-    Rows with a null doc_id go if their group has a document with an id.
+    A null doc_id comes after all others. Among rows that repeat the id, a hash of the text decides,
+    then the key of the row.
     """
-    groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    keyed, name = _keyed(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(name).alias("key"))
+    groups = simhash.near_duplicates(keyed.select(place.alias("place"), "text"), row_id="place")
+    return _without(keyed, name, groups.filter("doc_id.key != component_id.key").select("doc_id.key"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +82,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with words inside a benchmark item's ten-word window go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, phrases.contamination(docs, benchmark).filter("contaminated"))
+    keyed, name = _keyed(docs)
+    return _without(keyed, name, phrases.contamination(keyed, benchmark, row_id=name).filter("contaminated").select("doc_id"))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,3 +260,23 @@ def test_pipeline_takes_odd_rows(spark):
         assert out.dtypes == docs.dtypes
         out.collect()
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+@pytest.mark.parametrize("read", [True, False])
+def test_pipeline_keeps_clean_rows_with_null_and_repeated_ids(spark, tmp_path, read):
+    folder = "/root/testdata/sf0.001"
+    quoted = next(r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len((r.text or "").split()) > 20)
+    clean = [" ".join(f"{w}{k}" for w in "amber birch cedar delta ember fjord grove haven inlet jetty knoll larch".split()) for k in "qrstuv"]
+    rows = [(1, clean[0]), (None, clean[1]), (None, clean[2]), (2, clean[3]), (2, clean[4]), (3, clean[5])]
+    bad = {"quality": [(None, "short"), (2, "short")], "near_duplicates": [(None, clean[0]), (2, clean[0])], "decontamination": [(None, quoted), (2, quoted)]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name not in bad:
+            continue
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + bad[name]], "doc_id long, text string, lang string, source string, n_chars long")
+        if read:
+            docs.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert corpus_pipeline._is_scan(docs) == read
+        out = stage(spark, docs, folder)
+        assert out.dtypes == docs.dtypes
+        assert sorted((r.text, r.doc_id or 0) for r in out.collect()) == sorted((t, i or 0) for i, t in rows), name
