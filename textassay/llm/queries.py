@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textassay.llm import bpe, html_text, licenses, phrases, quality, simhash, suffix, token_files, urls, warc
+from textassay.llm import (
+    alignment, bpe, centroids, html_text, licenses, phrases, quality, search, simhash, suffix, token_files, urls, warc,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 # Allow and block entries (verdict, host, path).
 URL_RULES = (
@@ -83,6 +86,21 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licenses(table(spark, folder, "documents"))
 
 
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all other vectors."""
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return alignment.align_tokenizers(table(spark, folder, "documents"), TOKENIZER, PIECES)
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster and squared distance of every vector after three rounds."""
+    return centroids.report(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_licenses": op10_licenses,
+    "op11_top_k": op11_top_k,
+    "op12_alignment": op12_alignment,
+    "op13_centroids": op13_centroids,
 }
 
 _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
@@ -101,7 +122,54 @@ _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, p
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FINITE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x))), true)"
+_WHOLE = "list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _assigned(rounds: int) -> str:
+    """CTEs a0, c1, a1, ...: nearest centroid of every vector, and the centroids that follow from it."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""
+        a{k} AS (
+            SELECT vec_id, v, cluster, distance FROM (
+                SELECT vec_id, kept.v, cluster, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS place
+                FROM kept, c{k} AS c, LATERAL (SELECT CAST(list_sum(list_transform(list_zip(kept.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance)
+            ) WHERE place = 1
+        )""")
+        if k < rounds:
+            parts.append(f"""
+        c{k + 1} AS (
+            SELECT cluster, coalesce(moved.v, c.v) AS v FROM c{k} AS c LEFT JOIN (
+                SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS v FROM (
+                    SELECT cluster, d, CAST(sum(v[d]) AS BIGINT) AS s, count(*) AS n FROM a{k}, unnest(range(1, 65)) AS t(d) GROUP BY cluster, d
+                ) GROUP BY cluster
+            ) AS moved USING (cluster)
+        )""")
+    return ",".join(parts)
+
+
 ORACLE: dict[str, str] = {
+    "op11_top_k": f"""
+        WITH kept AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
+        pairs AS (
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM kept AS q JOIN kept AS x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op13_centroids": f"""
+        WITH kept AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+        c0 AS (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v
+            FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16)
+        ),{_assigned(3)},
+        sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia,
+               (SELECT CAST(sum(distance) AS BIGINT) FROM a3) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+        FROM a3 JOIN c3 USING (cluster) JOIN sums USING (cluster)
+    """,
     "op1_decontamination": f"""
         WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
