@@ -13,7 +13,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = ("documents", "labels", "pages", "benchmark", "conversations")
+TABLES = ("documents", "labels", "pages", "benchmark", "conversations", "embeddings")
 
 
 def sql_rows(folder: str, sql: str):
