@@ -122,8 +122,8 @@ _RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, p
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_FINITE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x))), true)"
-_WHOLE = "list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) for x in embedding]), true)"
+_WHOLE = "[CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding]"
 
 
 def _assigned(rounds: int) -> str:
@@ -134,7 +134,7 @@ def _assigned(rounds: int) -> str:
         a{k} AS (
             SELECT vec_id, v, cluster, distance FROM (
                 SELECT vec_id, kept.v, cluster, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS place
-                FROM kept, c{k} AS c, LATERAL (SELECT CAST(list_sum(list_transform(list_zip(kept.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance)
+                FROM kept, c{k} AS c, LATERAL (SELECT CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(kept.v, c.v)]) AS BIGINT) AS distance)
             ) WHERE place = 1
         )""")
         if k < rounds:
@@ -153,7 +153,7 @@ ORACLE: dict[str, str] = {
     "op11_top_k": f"""
         WITH kept AS (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
         pairs AS (
-            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), p -> p[1] * p[2])) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, x.v)]) AS BIGINT) AS score
             FROM kept AS q JOIN kept AS x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
         ),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
