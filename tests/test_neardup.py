@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textassay.operators import keyed, neardup
 
-LOW, PERCENT, TAU = 2, 20, 0.5
+TAU = 0.5
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def brute(texts):
     df = Counter(term for c in counts.values() for term in c)
     vec = {}
     for i, c in counts.items():
-        w = {t: tf * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, tf in c.items() if LOW <= df[t] and df[t] * 100 <= PERCENT * len(counts)}
+        w = {t: tf * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, tf in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         if w:
             vec[i] = {t: x / norm for t, x in w.items()}
@@ -60,7 +60,7 @@ def brute(texts):
 
 
 def test_counts_equal_brute_force(spark, df, brute, texts):
-    grouped = neardup.groups(df, low=LOW, percent=PERCENT)
+    grouped = neardup.groups(df)
     pairs = neardup.similar_pairs(grouped, TAU)
     row = {r.threshold: r for r in neardup.sweep(grouped, pairs, (TAU, 0.9)).collect()}
     for t in (TAU, 0.9):
@@ -86,11 +86,91 @@ def test_counts_equal_brute_force(spark, df, brute, texts):
 def test_cross_split_equals_brute_force(df, brute):
     side = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
     sums = {f"n_{s}": (side == s).cast("bigint") for s in ("train", "test")}
-    grouped = neardup.groups(df, low=LOW, percent=PERCENT, sums=sums)
+    grouped = neardup.groups(df, sums=sums)
     got = neardup.cross_split(grouped, neardup.similar_pairs(grouped, TAU)).first().n_cross_pairs
     assert got == sum((a % 5 == 0) != (b % 5 == 0) for a, b, _ in brute)
 
 
+def family_texts(seed: int, n: int, share: float, spread: int) -> list[str]:
+    """Texts of which a share are near copies of one: up to ``spread`` of its 60 words are others."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(2_000)]
+    first = rng.choices(words, k=60)
+    out = []
+    for _ in range(n):
+        if rng.random() < share:
+            text = list(first)
+            for _ in range(rng.randint(0, spread)):
+                text[rng.randrange(60)] = rng.choice(words)
+        else:
+            text = rng.choices(words, k=rng.randint(10, 80))
+        out.append(" ".join(text))
+    return out
+
+
+def brute_cosines(texts: list[str]) -> dict[tuple[int, int], float]:
+    """All pairs of distinct bags of words that share a term, by the ids of their first texts."""
+    first: dict = {}
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    counts = {i: Counter(re.findall(r"\w\w+", text)) for text, i in first.items()}
+    df = Counter(term for c in counts.values() for term in c)
+    vec, bags = {}, {}
+    for i, c in counts.items():
+        bags.setdefault(frozenset(c.items()), i)
+    for i in bags.values():
+        w = {t: tf * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, tf in counts[i].items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vec[i] = {t: x / norm for t, x in w.items()}
+    return {(a, b): sum(x * vec[b].get(t, 0) for t, x in vec[a].items()) for a, b in combinations(sorted(vec), 2)}
+
+
+def components(pairs) -> dict[int, int]:
+    parent: dict[int, int] = {}
+
+    def root(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {i: root(i) for i in list(parent)}
+
+
+def test_a_family_of_a_third_is_found_whole_with_few_links(spark):
+    """Near copies are a third of the texts: every pair is found, and clusters need few links a member."""
+    texts = family_texts(5, 400, 1 / 3, 2)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4))
+    cosine = brute_cosines(texts)
+    expected = {pair for pair, cos in cosine.items() if cos >= 0.8}
+    assert len(expected) > 3_000
+    assert {(r.a, r.b) for r in neardup.similar_pairs(grouped, 0.8).collect()} == expected
+    links = [(r.a, r.b) for r in neardup.linked(grouped, 0.8, crowd=8).collect()]
+    assert set(links) <= expected and components(links) == components(expected)
+    assert len(links) < 10 * len(components(expected))
+
+
+@pytest.mark.parametrize(("seed", "spread", "threshold"), [(1, 25, 0.8), (2, 40, 0.7), (3, 12, 0.9), (4, 60, 0.6)])
+def test_links_of_wide_families_connect_what_pairs_connect(spark, seed, spread, threshold):
+    """Families wider than a leader reaches: members of two families must still be compared."""
+    texts = family_texts(seed, 160, 0.7, spread)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4))
+    expected = {pair for pair, cos in brute_cosines(texts).items() if cos >= threshold}
+    links = [(r.a, r.b) for r in neardup.linked(grouped, threshold, crowd=8).collect()]
+    assert set(links) <= expected and components(links) == components(expected)
+
+
+def test_frequent_index_terms_are_cut_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "MIN_HEAVY_ROWS", 5)
+    texts = family_texts(9, 80, 0.5, 6)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    expected = {pair for pair, cos in brute_cosines(texts).items() if cos >= 0.8}
+    found = [(r.a, r.b) for r in neardup.similar_pairs(grouped, 0.8).collect()]
+    assert sorted(found) == sorted(expected)
+
+
 def test_title_pairs(spark):
     rows = [(7, "x"), (3, "x"), (9, "x"), (1, "y"), (2, "y"), (4, "z")] + [(100 + i, "hot") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, title STRING")

@@ -1,46 +1,55 @@
-"""Near-duplicates: cosine over a mid-frequency vocabulary, reported as counts.
+"""Near-duplicates: cosine of smooth TF-IDF vectors over all terms, reported as counts.
 
 Equal texts, and texts with equal vectors, are collapsed first and enter the
 counts as products of their sizes, so a group of copies that fills a third of the
-corpus costs one row. Terms in fewer than ``low`` distinct texts, or in more than
-``percent`` of them, are not part of the similarity: that is the operator's definition.
-The upper bound is a share, so two texts keep their similarity when the corpus grows by
-more of the same. Within the band most pairs are ruled out by a bound on a few rare
-terms, which loses no pair.
+corpus costs one row. All terms count in norm and cosine; document frequency only
+orders them, rarest first. A vector is indexed by its leading terms, up to where the
+norm of the rest falls below the threshold, and pairs that share no indexed term can't
+reach it. Nothing else keeps a pair from being compared. Terms that very many vectors
+index are handled through leaders where links are asked for (``linked``), and cut into
+pieces on both sides of the join where all pairs are (``similar_pairs``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textassay.functions.numbers import share
-from textassay.functions.text import with_value
 from textassay.operators.keyed import heavy_keys, join_by_frequency
 from textassay.operators.profile import digest
 from textassay.operators.sampling import smallest
 from textassay.operators.vocabulary import counted_tokens, smooth_idf
 from textassay.session import settle
 
+# Bounds of the blocking vocabulary in the cost report; no bound of the similarity.
 LOW_DF = 2
 HIGH_PERCENT = 10
 THRESHOLD = 0.8
-SWEEP = (0.6, 0.7, 0.8, 0.9)
+SWEEP = (0.8, 0.85, 0.9, 0.95)
 PRECISION_SAMPLE = 100
 SLACK = 1e-9
-INDEX_SHARE = 0.8
+# A term that more vectors index goes through leaders; each of its sublists proposes one.
+CROWD = 1_000
+SUBLISTS = 3
 
 
 def distinct_texts(df: DataFrame, text: str = "text", row_id: str = "doc_id",
                    sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct text: smallest id, number of rows, extra sums, counted tokens."""
+    """One row per distinct text: smallest id, number of rows, extra sums, counted tokens.
+
+    Copies are dropped by digest before anything is tokenised.
+    """
     sums = sums or {}
     copies = (
         df.select(F.col(row_id).alias("id"), digest(text).alias("_d"), *[c.alias(n) for n, c in sums.items()])
         .groupBy("_d").agg(F.min("id").alias("id"), F.count("*").alias("n"), *[F.sum(n).alias(n) for n in sums])
         .drop("_d")
     )
-    return df.select(F.col(row_id).alias("id"), counted_tokens(F.col(text)).alias("_terms")).join(copies, "id")
+    kept = df.select(F.col(row_id).alias("id"), F.col(text).alias("_text")).join(copies, "id")
+    return kept.withColumn("_terms", counted_tokens(F.col("_text"))).drop("_text")
 
 
 def term_frequencies(texts: DataFrame) -> DataFrame:
@@ -65,50 +74,43 @@ def blocking_cost(frequencies: DataFrame, n_texts: DataFrame, low: int = LOW_DF,
     )
 
 
-def vectors(rows: DataFrame, frequencies: DataFrame, n_texts: DataFrame, low: int, percent: int) -> DataFrame:
-    """Unit vectors over the band: ``id`` and ``vec``, rarest term first.
+def vectors(rows: DataFrame, frequencies: DataFrame, n_texts: DataFrame) -> DataFrame:
+    """Unit vectors over all terms: ``id`` and ``vec``, rarest term first.
 
-    ``rows`` has ``id`` and ``_terms``. Rows without a band term have no vector.
+    ``rows`` has ``id`` and ``_terms``. Each element knows ``rest``, the squared norm from itself on.
+    Rows without a term have no vector.
     """
-    sized = frequencies.join(F.broadcast(n_texts))
-    band = sized.filter((F.col("df") >= low) & ~is_frequent(percent))
     postings = rows.select("id", F.inline("_terms"))
-    # Frequent terms leave before the shuffle. Fewer than 10,000 can be that frequent.
-    above = heavy_keys(frequencies, "term", "df").join(
-        sized.filter(is_frequent(percent)).select("term"), "term", "left_semi"
-    )
-    postings = postings.join(F.broadcast(above.select("term")), "term", "left_anti")
-    weighted = join_by_frequency(postings, band, "term", "df", "id").withColumn(
+    weighted = join_by_frequency(postings, frequencies, "term", "df", "id").join(F.broadcast(n_texts)).withColumn(
         "w", F.col("tf") * smooth_idf(F.col("n_texts"), F.col("df"))
     )
-    collected = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "tf", "w"))).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-
-    def scaled(by):
-        return F.transform("vec", lambda e: F.struct(e["df"], e["term"], e["tf"], (e["w"] / by).alias("w")))
+    row, square = Window.partitionBy("id"), F.col("w") * F.col("w")
+    placed = weighted.withColumns({
+        "upto": F.sum(square).over(row.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum(square).over(row),
+    })
+    # The last element's rest is exact: nothing follows it.
+    rest = F.greatest((F.col("all") - F.col("upto") + square) / F.col("all"), square / F.col("all"))
+    element = F.struct("df", "term", "tf", (F.col("w") / F.sqrt("all")).alias("w"), rest.alias("rest"))
+    return placed.groupBy("id").agg(F.sort_array(F.collect_list(element)).alias("vec"))
 
-    # The norm is bound first; named inside the lambda it would be computed per element.
-    return collected.select("id", with_value(norm, scaled).alias("vec"))
 
-
-def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", low: int = LOW_DF, percent: int = HIGH_PERCENT,
-           sums: dict[str, Column] | None = None) -> DataFrame:
+def groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", sums: dict[str, Column] | None = None) -> DataFrame:
     """One settled row per distinct vector: ``id``, ``n`` rows, extra sums, ``vec``.
 
-    A text without a vector stays a group of its own copies.
+    Texts with the same counted tokens have the same vector, so they are merged before any weight is
+    worked out. A text without tokens stays a group of its own copies. Frequencies are over distinct texts.
     """
     sums = sums or {}
     texts = settle(distinct_texts(df, text, row_id, sums))
     frequencies = settle(term_frequencies(texts))
-    n_texts = texts.agg(F.count("*").alias("n_texts"))
-    vec = settle(vectors(texts, frequencies, n_texts, low, percent))
-    parts = F.transform("vec", lambda e: F.concat_ws(":", e["term"], e["tf"].cast("string")))
-    key = F.coalesce(F.sha2(F.array_join(parts, ",").cast("binary"), 256), F.concat(F.lit("id:"), F.col("id")))
-    merged = (
-        texts.drop("_terms").join(vec, "id", "left").withColumn("_key", key)
-        .groupBy("_key").agg(F.min("id").alias("id"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
-        .drop("_key")
+    parts = F.transform("_terms", lambda e: F.concat_ws(":", e["term"], e["tf"].cast("string")))
+    bag = F.when(F.size("_terms") > 0, F.sha2(F.array_join(parts, ",").cast("binary"), 256)).otherwise(F.concat(F.lit("id:"), F.col("id")))
+    merged = settle(
+        texts.withColumn("_bag", bag)
+        .groupBy("_bag").agg(F.min("id").alias("id"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums]).drop("_bag")
     )
+    n_texts = texts.agg(F.count("*").alias("n_texts"))
+    vec = vectors(texts.select("id", "_terms").join(merged.select("id"), "id", "left_semi"), frequencies, n_texts)
     return settle(merged.join(vec, "id", "left"))
 
 
@@ -122,30 +124,143 @@ def as_map(vec: Column) -> Column:
     return F.map_from_entries(F.transform(vec, lambda e: F.struct(e["term"], e["w"])))
 
 
-def similar_pairs(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of groups with cosine at or above the threshold: ``a < b, cosine``.
+def index_entries(grouped: DataFrame, threshold: float) -> DataFrame:
+    """Leading terms of every vector: ``id, term, w, after, tail``.
+
+    The index of a vector ends where the norm of the rest falls below the threshold: ``tail`` is the norm
+    behind it, ``after`` that behind the term.
+    """
+    cut = threshold * threshold - SLACK
+    leading = F.filter("vec", lambda e: e["rest"] >= cut)
+    tail = F.coalesce(F.get("vec", F.size(leading))["rest"], F.lit(0.0))
+    entries = grouped.filter("vec is not null").select("id", F.sqrt(tail).alias("tail"), F.inline(leading))
+    after = F.sqrt(F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)))
+    return entries.select("id", "term", "w", after.alias("after"), "tail")
+
+
+_ENTRY = ("id", "w", "after", "tail")
+
+
+def _side(entries: DataFrame, side: str, *keys: str) -> DataFrame:
+    return entries.select(*keys, *[F.col(x).alias(f"{x}_{side}") for x in entries.columns if x not in keys])
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """Every two entries of a term, ``id_a < id_b``.
+
+    Entries of frequent terms are cut into pieces on both sides; every piece of one side meets every
+    piece of the other.
+    """
+    counts = settle(entries.groupBy("term").agg(F.count("*").alias("_n")))
+    heavy = F.broadcast(heavy_keys(counts, "term", "_n").select("term", F.col("_pieces").cast("bigint").alias("_p")))
+
+    def cut(side, own, other):
+        """Own piece by a hash of the id, and a copy for every piece of the other side."""
+        pieces = F.coalesce("_p", F.lit(1).cast("bigint"))
+        marked = entries.join(heavy, "term", "left").withColumn(own, F.pmod(F.xxhash64("id"), pieces))
+        return _side(marked.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))).drop("_p"), side, "term", "_i", "_j")
+
+    return cut("a", "_i", "_j").join(cut("b", "_j", "_i"), ["term", "_i", "_j"]).filter("id_a < id_b")
+
+
+def _candidates(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` that may reach the threshold, from all meetings of their entries.
 
-    Terms come rarest first in every vector. A vector is indexed by its leading
-    terms, up to where the norm of the rest falls below ``cut``. Whatever a pair
-    shares beyond its indexed terms adds less than ``cut`` to the cosine, so a pair
-    whose indexed terms add up to less than ``threshold - cut`` cannot reach the
-    threshold. The few that remain get their exact cosine.
+    What a pair has in common beyond the index that ends first is at most that index's tail times the norm
+    of the other vector behind their last common term.
     """
-    cut = INDEX_SHARE * threshold
-    entries = grouped.filter("vec is not null").select("id", F.inline("vec"))
-    before = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rest = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(before), F.lit(0.0))
-    index = settle(entries.withColumn("_rest", rest).filter(F.col("_rest") >= cut * cut - SLACK).select("id", "term", "w"))
-    left = index.select("term", F.col("id").alias("a"), F.col("w").alias("wa"))
-    right = index.select("term", F.col("id").alias("b"), F.col("w").alias("wb"))
-    partial = (
-        left.join(right, "term").filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_partial"))
+    sums = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("s"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
+        F.first("tail_a").alias("tail_a"), F.first("tail_b").alias("tail_b"),
     )
-    candidates = settle(partial.filter(F.col("_partial") >= threshold - cut - SLACK).select("a", "b"))
+    bound = F.col("s") + F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a"))
+    return sums.filter(bound >= threshold - SLACK).select("a", "b")
+
+
+def similar_pairs(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of groups with cosine at or above the threshold: ``a < b, cosine``."""
+    candidates = settle(_candidates(_met(settle(index_entries(grouped, threshold))), threshold))
     return cosines(candidates, grouped.select("id", "vec")).filter(F.col("cosine") >= threshold)
 
 
+def leaders(grouped: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """Members of crowded families: settled ``id, leader``, with a cosine at or above the threshold.
+
+    Every list of more than ``crowd`` vectors with one indexed term proposes its least hashes as leaders,
+    which each of its vectors is compared with; members and leaders leave the lists. Rounds end when no
+    list is crowded or few vectors find a leader. Work is in proportion to the entries.
+    """
+    place = F.struct(F.xxhash64("id").alias("h"), "id")
+    entries = settle(index_entries(grouped, threshold).select("id", "term"))
+    vec = grouped.select("id", "vec")
+    found = []
+    while True:
+        sizes = entries.groupBy("term").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
+        lists = settle(entries.join(settle(sizes), "term"))
+        if lists.isEmpty():
+            break
+        heads = lists.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(SUBLISTS)).alias("_k")).agg(F.min(place).alias("head"), F.max("_n").alias("_n"))
+        proposed = heads.groupBy("term").agg(F.collect_list("head").alias("heads"), F.max("_n").alias("_n"))
+        near = join_by_frequency(lists.select("id", "term"), proposed, "term", "_n", "id").select("id", F.explode("heads").alias("head"))
+        # Leaders come before their members in one order; a proposed leader that has a leader itself is no leader.
+        candidates = near.filter(F.col("head") < place).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+        close = settle(cosines(settle(candidates), vec).filter(F.col("cosine") >= threshold))
+        tops = close.join(close.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        members = settle(tops.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("cosine", "a")).alias("leader")))
+        found.append(members)
+        if members.count() <= crowd // 8:
+            break
+        done = members.select("id").unionByName(members.select(F.col("leader").alias("id"))).distinct()
+        entries = settle(entries.join(done, "id", "left_anti"))
+    return settle(reduce(DataFrame.unionByName, found, grouped.select("id", F.col("id").alias("leader")).limit(0)))
+
+
+def _met_apart(entries: DataFrame, crowd: int) -> DataFrame:
+    """Every two entries of a term whose ``label`` differs, ``id_a < id_b``.
+
+    In crowded lists labels meet first, and only then their entries, so entries of one label never do.
+    """
+    lists = settle(entries.groupBy("term", "label").agg(F.count("*").alias("n")))
+    crowded = settle(lists.groupBy("term").agg(F.sum("n").alias("_all")).filter(F.col("_all") > crowd).select("term"))
+    few = _met(entries.join(crowded, "term", "left_anti")).filter("label_a != label_b")
+    many = entries.join(crowded, "term", "left_semi")
+    labels = lists.join(crowded, "term", "left_semi").select("term", "label")
+    meeting = labels.withColumnRenamed("label", "label_a").join(labels.withColumnRenamed("label", "label_b"), "term").filter("label_a < label_b")
+    apart = meeting.join(_side(many, "a", "term"), ["term", "label_a"]).join(_side(many, "b", "term"), ["term", "label_b"])
+    names = [f"{x}_{side}" for side in "ab" for x in (*_ENTRY, "member", "label")]
+    swapped = [F.when(F.col("id_a") < F.col("id_b"), F.col(f"{x}_{s}")).otherwise(F.col(f"{x}_{t}")).alias(f"{x}_{s}")
+               for s, t in ("ab", "ba") for x in (*_ENTRY, "member", "label")]
+    return few.select(*names).unionByName(apart.select(*swapped))
+
+
+def linked(grouped: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """Links ``a < b`` that connect exactly what the pairs at or above the threshold connect; each is such a pair.
+
+    Members of a crowded family are linked to their leader alone, so links grow with members. All others
+    are compared with each other. Whatever hangs together then needs no more links: members are compared
+    with vectors of other components only, and one link between two components is kept.
+    """
+    members = leaders(grouped, threshold, crowd)
+    if members.isEmpty():
+        return similar_pairs(grouped, threshold).select("a", "b")
+    others = grouped.join(members.select("id"), "id", "left_anti")
+    to_leader = members.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    links = settle(to_leader.unionByName(similar_pairs(settle(others.select("id", "vec")), threshold).select("a", "b")))
+    labels = settle(clusters(links).withColumnRenamed("cluster", "label"))
+    entries = settle(
+        index_entries(grouped, threshold).join(members.select("id", F.lit(True).alias("member")), "id", "left").join(labels, "id", "left")
+        .select("term", *_ENTRY, F.coalesce("member", F.lit(False)).alias("member"), F.coalesce("label", "id").alias("label"))
+    )
+    met = _met_apart(entries, crowd).filter("member_a or member_b")
+    close = settle(cosines(settle(_candidates(met, threshold)), grouped.select("id", "vec")).filter(F.col("cosine") >= threshold).select("a", "b"))
+    for side in "ab":
+        own = labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
+        close = close.join(own, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    heads = F.struct(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).alias("heads")
+    across = close.groupBy(heads).agg(F.min(F.struct("a", "b")).alias("link")).select("link.*")
+    return settle(links.unionByName(across))
+
+
 def cosines(pairs: DataFrame, vec: DataFrame) -> DataFrame:
     """Cosine of each (a, b); null when one of them has no vector."""
     maps = vec.filter("vec is not null").select("id", as_map(F.col("vec")).alias("m"))
@@ -220,8 +335,8 @@ def title_pairs(df: DataFrame, max_count: int = 3, title: str = "title", row_id:
     )))
 
 
-def title_recall(df: DataFrame, threshold: float = THRESHOLD, low: int = LOW_DF, percent: int = HIGH_PERCENT,
-                 title: str = "title", scored: str = "description", row_id: str = "doc_id") -> DataFrame:
+def title_recall(df: DataFrame, threshold: float = THRESHOLD, title: str = "title", scored: str = "description",
+                 row_id: str = "doc_id") -> DataFrame:
     """Share of same-title pairs found by the similarity of the other field alone."""
     texts = settle(distinct_texts(df, scored, row_id))
     frequencies = settle(term_frequencies(texts))
@@ -229,7 +344,7 @@ def title_recall(df: DataFrame, threshold: float = THRESHOLD, low: int = LOW_DF,
     ids = truth.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = df.select(F.col(row_id).alias("id"), F.col(scored).alias("_s")).join(ids, "id")
     vec = vectors(rows.select("id", counted_tokens(F.col("_s")).alias("_terms")), frequencies,
-                  texts.agg(F.count("*").alias("n_texts")), low, percent)
+                  texts.agg(F.count("*").alias("n_texts")))
     keys = rows.select("id", digest("_s").alias("d"))
     scoredp = cosines(truth, vec)
     for side in ("a", "b"):
@@ -279,3 +394,10 @@ def duplicate_units(grouped: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows"), zero).alias("rows_involved"),
         F.coalesce(F.sum(F.col("rows") - 1), zero).alias("rows_beyond_first"),
     )
+
+
+def cluster_classes(grouped: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per cluster of two or more vectors: its texts, its rows and the links that hold it together."""
+    sizes = grouped.select("id", "n").join(labels, "id").groupBy("cluster").agg(F.count("*").alias("n_vectors"), F.sum("n").alias("n_rows"))
+    held = links.join(labels, F.col("a") == F.col("id")).groupBy("cluster").agg(F.count("*").alias("n_links"))
+    return sizes.join(held, "cluster").select("cluster", "n_vectors", "n_rows", "n_links")

@@ -21,7 +21,7 @@ WORDS = r"[\p{L}\p{N}_]"
 NUM = r"#\p{Nd}{2,4};"
 REPAIRABLE = r"#(?:3[0-9]|1[0-9]{2}|2[0-9]{2});"
 NAMED = f"(?:{NAMES_ALT});"
-LOW, PERCENT, TAU = 2, 10, 0.6
+LOW, PERCENT, TAU = 2, 10, 0.8
 MARKERS = SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 
@@ -175,13 +175,13 @@ summary AS (SELECT "left", "right", avg(d) AS mean, stddev_samp(d) AS sd, count(
     {count_if('d > 0')} AS pos, {count_if('d = 0')} AS zero FROM deltas GROUP BY 1, 2)"""
 
 
-def near(text: str, source: str = "corpus", low: int = LOW, percent: int = PERCENT, sides: str = "") -> str:
-    """Brute force: every common band term of every pair of distinct texts."""
+def near(text: str, source: str = "corpus", sides: str = "") -> str:
+    """Brute force: every common term of every pair of distinct texts."""
     return f"""texts AS (SELECT min(doc_id) AS id, count(*) AS n{sides}, {text} AS t FROM {source} GROUP BY {text}),
 postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens('t')}) AS term FROM texts) GROUP BY 1, 2),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 weighted AS (SELECT id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS w
-    FROM postings JOIN freq USING (term) WHERE df >= {low} AND df * 100 <= (SELECT count(*) FROM texts) * {percent}),
+    FROM postings JOIN freq USING (term)),
 unit AS (SELECT id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighted),
 keyed AS (SELECT id, string_agg(term || ':' || tf, ',' ORDER BY term) AS key FROM unit GROUP BY 1),
 grp AS (SELECT min(id) AS id, sum(n)::BIGINT AS n{sides.replace('count_if', 'sum').replace("(side = 'train')", '(n_train)').replace("(side = 'test')", '(n_test)')}
@@ -447,6 +447,7 @@ ORACLE = {
         sum(CASE WHEN n > 1 OR best >= threshold THEN n ELSE 0 END)::BIGINT AS rows_involved
         FROM th CROSS JOIN grp LEFT JOIN ends USING (id) LEFT JOIN x USING (threshold) GROUP BY 1""",
     "neardup_clusters": f"{CLUSTERS} SELECT id, cluster FROM clusters",
+    "neardup_classes": f"""{CLUSTERS} SELECT cluster, count(*) AS n_vectors, sum(n)::BIGINT AS n_rows FROM clusters JOIN grp USING (id) GROUP BY 1""",
     "neardup_units": f"""{CLUSTERS}, z AS (SELECT coalesce(cluster, id) AS cluster, sum(n) AS r FROM grp LEFT JOIN clusters USING (id) GROUP BY 1)
         SELECT count(*) AS n_clusters, sum(r)::BIGINT AS rows_involved, sum(r - 1)::BIGINT AS rows_beyond_first FROM z WHERE r > 1""",
     "neardup_cross_split": f"""WITH {CORPUS}, {split_of('corpus', '[0]')},

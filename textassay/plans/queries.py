@@ -19,7 +19,7 @@ from textassay.sources import results
 
 DIGITS = 6
 BAND = {"low": 2, "percent": 10}
-THRESHOLD = 0.6
+THRESHOLD = 0.8
 SEEDS = sampling.SEEDS
 
 
@@ -435,7 +435,7 @@ def neardup_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neardup_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.groups(inputs.corpus(spark, folder), **BAND)
+    return neardup.groups(inputs.corpus(spark, folder))
 
 
 def neardup_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -454,19 +454,26 @@ def neardup_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neardup_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.clusters(neardup.similar_pairs(neardup_groups(spark, folder), THRESHOLD))
+    return neardup.clusters(neardup.linked(neardup_groups(spark, folder), THRESHOLD))
 
 
 def neardup_units(spark: SparkSession, folder: str) -> DataFrame:
     grouped = neardup_groups(spark, folder)
-    return neardup.duplicate_units(grouped, neardup.clusters(neardup.similar_pairs(grouped, THRESHOLD)))
+    return neardup.duplicate_units(grouped, neardup.clusters(neardup.linked(grouped, THRESHOLD)))
+
+
+def neardup_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors and rows per cluster."""
+    grouped = neardup_groups(spark, folder)
+    links = settle(neardup.linked(grouped, THRESHOLD))
+    return neardup.cluster_classes(grouped, neardup.clusters(links), links).select("cluster", "n_vectors", "n_rows")
 
 
 def neardup_cross_split(spark: SparkSession, folder: str) -> DataFrame:
     corpus = inputs.corpus(spark, folder)
     sided = sampling.stratified_split(corpus.select("doc_id", "label", "text"), seeds=(0,))
     sums = {f"n_{side}": (F.col("side") == side).cast("bigint") for side in ("train", "test")}
-    grouped = neardup.groups(sided, **BAND, sums=sums)
+    grouped = neardup.groups(sided, sums=sums)
     return neardup.cross_split(grouped, settle(neardup.similar_pairs(grouped, THRESHOLD)))
 
 
@@ -476,7 +483,7 @@ def neardup_precision_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neardup_recall(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.title_recall(inputs.corpus(spark, folder), THRESHOLD, **BAND)
+    return neardup.title_recall(inputs.corpus(spark, folder), THRESHOLD)
 
 
 def heldout_distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -647,7 +654,7 @@ RELATIONAL = [
     majority_dummy_macro_f1, stratified_dummy_macro_f1, confusion, class_metrics, confusable_pair, cell_means,
     paired_delta, missing_cells, telescoping, noise_floor, halt_mismatches, train_vocab_sizes, shared_vocab_check,
     shared_split_check, results_log, results_union,
-    neardup_cost, neardup_pairs, neardup_group_sizes, neardup_sweep, neardup_clusters, neardup_units,
+    neardup_cost, neardup_pairs, neardup_group_sizes, neardup_sweep, neardup_clusters, neardup_units, neardup_classes,
     neardup_cross_split, neardup_precision_sample, neardup_recall, heldout_distribution,
 ]
 
