@@ -31,6 +31,8 @@ LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 SHARD_BYTES = 4 << 20
+# Positions whose keys are worked out at a time.
+KEY_BYTES = 256 << 10
 # Text that one bucket of the hash range stands for.
 BUCKET_BYTES = 32 << 20
 _KASAI_STEPS = 64
@@ -47,32 +49,47 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ordered by at least their first ``depth`` bytes, and which of them tie with the one before.
 
     Starts from eight bytes and doubles; each round sorts only suffixes in groups that still tie,
-    by their group and the group of the suffix that many bytes on.
+    by their group and the group of the suffix that many bytes on. Places are 32-bit integers.
     """
     n = len(data)
     key = lanes(data)[:n].byteswap()
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = _group_starts(new, np.arange(n, dtype=np.int32))
     known = 8
     while known < depth:
-        at = np.flatnonzero(~(new & np.append(new[1:], True)))
+        at = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
         if not len(at):
             break
         suffix = order[at]
-        later = suffix + known
-        key = (rank[suffix] << 32) | np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        key = rank[suffix].astype(np.int64)
+        key <<= 32
+        tail = rank[np.minimum(suffix + known, n - 1)]
+        tail += 1
+        tail[suffix >= n - known] = 0
+        key |= tail
+        del tail
         by = np.argsort(key)
         suffix, key = suffix[by], key[by]
+        del by
         order[at] = suffix
-        new[at] = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[suffix] = np.maximum.accumulate(np.where(new[at], at, 0))
+        new[at[0]] = True
+        new[at[1:]] = key[1:] != key[:-1]
+        del key
+        rank[suffix] = _group_starts(new[at], at)
         known *= 2
     return order, ~new
 
 
+def _group_starts(new: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each ascending place the last one at or before it that begins a group."""
+    return np.maximum.accumulate(np.where(new, at, np.int32(0)))
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, cap: int) -> np.ndarray:
     """Bytes that each suffix of the order has in common with the one before it, at most ``cap``.
 
@@ -82,11 +99,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, cap:
     """
     n = len(order)
     eight = lanes(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(place > 0, order[np.maximum(place, 1) - 1], -1)
-    tie = tied[place]
-    common = np.zeros(n, np.int64)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    common = np.zeros(n, np.uint8 if cap < 256 else np.int32)
     starts = np.arange(0, n, _KASAI_STEPS)
     have = np.zeros(len(starts), np.int64)
     for step in range(_KASAI_STEPS):
@@ -94,24 +109,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, cap:
         if i[-1] >= n:
             i = i[i < n]
             have = have[: len(i)]
+        at = place[i]
+        before = order[np.maximum(at, 1) - 1]
+        tie = tied[at]
         have = np.maximum(have - 1, 0)
-        live = np.flatnonzero((before[i] >= 0) & ~tie[i])
-        have[before[i] < 0] = 0
+        live = np.flatnonzero((at > 0) & ~tie)
+        have[at == 0] = 0
         while len(live):
-            a = i[live]
-            differ = eight[a + have[live]] ^ eight[before[a] + have[live]]
+            differ = eight[i[live] + have[live]] ^ eight[before[live] + have[live]]
             same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
             have[live] += same
             live = live[(same == 8) & (have[live] < cap)]
         have = np.minimum(have, cap)
-        common[place[i]] = np.where(tie[i], cap, have)
-        have[tie[i]] = 0
+        common[at] = np.where(tie, cap, have)
+        have[tie] = 0
     return common
 
 
-def start_keys(data: np.ndarray) -> np.ndarray:
-    """The least hash of ``GRAM`` bytes among the ``LENGTH`` bytes from each position on."""
-    n = len(data)
+def start_keys(data: np.ndarray, n: int) -> np.ndarray:
+    """The least hash of ``GRAM`` bytes among the ``LENGTH`` bytes from each of the first ``n`` positions on."""
     eight = lanes(data)
     least, width = mix(mix(eight[: n + SPAN]) ^ eight[GRAM - 8 : n + SPAN + GRAM - 8]), 1
     while 2 * width <= SPAN:
@@ -124,25 +140,36 @@ def start_keys(data: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Texts of one shard: bytes, bounds, each byte's text, and runs of starts with one key."""
+    """Texts of one shard: bytes, bounds, and runs of starts with one key.
+
+    Keys are worked out for ``KEY_BYTES`` positions at a time; a run may end there and go on as another.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, bits: int):
         self.data, self.offsets = data, offsets
-        n = len(data)
-        least = start_keys(data)
-        end = np.repeat(offsets[1:], np.diff(offsets))
-        valid = np.arange(n) + LENGTH <= end
+        parts = [self._runs(start, min(len(data), start + KEY_BYTES)) for start in range(0, len(data), KEY_BYTES)]
+        run, length, key = zip(*parts) if parts else ((np.zeros(0, np.int32),), (np.zeros(0, np.int32),), (np.zeros(0, np.uint64),))
+        self.run, self.length = np.concatenate(run), np.concatenate(length)
+        self.text = (np.searchsorted(offsets, self.run, "right") - 1).astype(np.int32)
+        # Enough of the mixed key to tell strings of one bucket apart; a chance match only costs work.
+        self.key = mix(np.concatenate(key)) >> np.uint64(32 - bits)
+
+    def _runs(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and least hash of the runs of valid starts between two positions."""
+        n = stop - start
+        least = start_keys(self.data[start : stop + LENGTH], n)
+        first, last = np.searchsorted(self.offsets, (start, stop - 1), "right") - 1
+        ends = self.offsets[first + 1 : last + 2]
+        bounds = np.clip(np.append(self.offsets[first : last + 1], stop), start, stop) - start
+        valid = np.arange(start + LENGTH, stop + LENGTH) <= np.repeat(ends, np.diff(bounds))
         change = np.ones(n, bool)
         change[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
-        inner = offsets[1:-1]
-        change[inner[inner < n]] = True
+        change[bounds[:-1][np.diff(bounds) > 0]] = True
         runs = np.flatnonzero(change)
         length = np.diff(np.append(runs, n))
         kept = valid[runs]
-        self.run, self.length = runs[kept], length[kept]
-        self.text = np.searchsorted(offsets, self.run, "right") - 1
-        # Enough of the mixed key to tell strings of one bucket apart; a chance match only costs work.
-        self.key = mix(least[self.run]) >> np.uint64(32 - bits)
+        runs, length = runs[kept], length[kept]
+        return (runs + start).astype(np.int32), length.astype(np.int32), least[runs]
 
     def keys(self) -> np.ndarray:
         return np.unique(self.key)
@@ -159,8 +186,8 @@ class Shard:
         repeated = np.zeros(len(key), bool)
         repeated[order] = several[group]
         repeated |= contained(self.key, shared)
-        good = np.flatnonzero(repeated)
-        return expand(self.run[good], self.length[good]), np.repeat(good, self.length[good])
+        good = np.flatnonzero(repeated).astype(np.int32)
+        return expand(self.run[good], self.length[good]).astype(np.int32), np.repeat(good, self.length[good])
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -186,28 +213,39 @@ def spans_of(positions: np.ndarray) -> np.ndarray:
     return np.column_stack([positions[first], np.diff(np.append(first, len(positions)))]).astype("<u4")
 
 
+def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in one of the runs given by ascending or unordered start and length."""
+    edge = np.bincount(starts, minlength=n + 1).astype(np.int32)
+    edge -= np.bincount(starts + lengths, minlength=n + 1).astype(np.int32)
+    return np.cumsum(edge[:-1], out=edge[:-1]) > 0
+
+
 def local_repeats(shard: Shard, firsts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts that an earlier document of the shard holds; first-document starts to compare with
     other shards, and the run of each."""
     start, run = shard.candidates(shared)
     if not len(start):
         return start, start, run
-    edge = np.zeros(len(shard.data) + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + LENGTH, -1)
-    region = np.cumsum(edge[:-1]) > 0
+    region = covered(start, LENGTH, len(shard.data))
+    at = (np.cumsum(region, dtype=np.int32) - 1)[start]
     data = shard.data[region]
-    at = (np.cumsum(region) - 1)[start]
+    del region
     order, tied = suffix_array(data, LENGTH)
     same = common_prefixes(data, order, tied, LENGTH) >= LENGTH
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(~same)
+    del tied
+    group = np.empty(len(order), np.int32)
+    group[order] = np.cumsum(~same, dtype=np.int32)
+    del order, same
     group = group[at]
-    own = firsts[shard.text[run]]
-    by = np.argsort(group, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
-    smallest = np.empty(len(group), own.dtype)
+    del at
+    # Documents by the order of their ids, which takes less room than the ids.
+    own = np.unique(firsts, return_inverse=True)[1].astype(np.int32)[shard.text[run]]
+    by = np.argsort(group, kind="stable").astype(np.int32)
+    group = group[by]
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    smallest = np.empty(len(group), np.int32)
     smallest[by] = np.repeat(np.minimum.reduceat(own[by], edges), np.diff(np.append(edges, len(by))))
+    del by, group
     later = own > smallest
     sent = ~later & contained(shard.key, shared)[run]
     return start[later], start[sent], run[sent]
@@ -385,12 +423,9 @@ def _removed(shards: DataFrame, compared: DataFrame, parts: int, texts: bool) ->
     def task(batches):
         for row in _rows(batches):
             data, offsets, firsts = _read(row)
-            edge = np.zeros(len(data) + 1, np.int32)
-            for blob in row["spans"] or ():
-                start, length = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64).T
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + length + LENGTH - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            spans = [np.frombuffer(blob, "<u4").reshape(-1, 2) for blob in row["spans"] or ()]
+            start, length = np.concatenate([np.zeros((0, 2), "<u4"), *spans]).astype(np.int64).T
+            gone = covered(start, length + LENGTH - 1, len(data))
             digests, n_removed, n_spans, sha, kept = [], [], [], [], []
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                 own = gone[a:b]
