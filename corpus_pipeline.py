@@ -28,8 +28,8 @@ def _is_scan(docs: DataFrame) -> bool:
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key of its own for every row, and the name of that column.
 
-    The key of a row read from a file is the file and the row's place in it; other rows are settled
-    first, so that they keep the number they are given.
+    The key of a row read from a file is a digest of the file's path and the row's place in it; other rows
+    are settled first, so that they keep the number they are given.
     """
     name = "_row"
     while name in docs.columns:
@@ -39,7 +39,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     except AnalysisException:  # files of a kind that does not number its rows
         scan = False
     if scan:
-        return docs.withColumn(name, F.concat_ws("#", "_metadata.row_index", "_metadata.file_path")), name
+        file = F.base64(F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))))
+        return docs.withColumn(name, F.concat_ws("#", "_metadata.row_index", file)), name
     return settle(docs.withColumn(name, F.monotonically_increasing_id().cast("string"))), name
 
 
