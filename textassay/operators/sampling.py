@@ -21,6 +21,7 @@ N_SAMPLE = 5000
 SEEDS = (0, 1, 2, 3, 4)
 TEST_PERCENT = 20
 LADDER = (4_000, 8_000, 16_000, 32_000, 64_000, 80_000)
+LADDER_POOL = 96_000  # rows of the pool that the ladder was made for
 REVIEW_ROWS = 100
 
 BUCKET_DIGITS = 4  # 65,536 buckets per group
@@ -131,6 +132,29 @@ def stratified_split(df: DataFrame, label: str = "label", row_id: str = "doc_id"
     return joined.select("d.*", F.when(is_test, "test").otherwise("train").alias("side"))
 
 
+def split_samples(df: DataFrame, n: int, seeds=SEEDS, label: str = "label", row_id: str = "doc_id", percent: int = TEST_PERCENT) -> DataFrame:
+    """A stratified split of n rows drawn without replacement, for all seeds at once: ``row_id, label, seed, side``.
+
+    The same rows as ``sample_n`` followed by ``stratified_split`` for each seed.
+    """
+    have = df.count()
+    if n > have:
+        raise ValueError(f"cannot take {n} rows from {have} without replacement")
+    drawn = with_seeds(df.select(row_id, label), seeds)
+    if n < have:
+        quotas = with_seeds(df.sparkSession.range(1).select(F.lit(0).alias("cut"), F.lit(n).cast("bigint").alias("quota")), seeds)
+        cuts = cut_rows(drawn, quotas, ["seed"], row_id, "seed")
+        # One row per seed.
+        joined = drawn.alias("d").join(F.broadcast(cuts).alias("q"), _match(["seed"]))
+        drawn = settle(joined.filter(within(place("d." + row_id, F.col("d.seed")), F.col("d." + row_id))).select("d.*"))
+    counts = drawn.groupBy("seed", label).agg(F.count("*").alias("n"))
+    quotas = class_quotas(counts, label, ["seed"], percent).filter("quota > 0").withColumn("cut", F.lit(0))
+    cuts = cut_rows(drawn.select("seed", label, row_id), quotas, ["seed", label], row_id, "seed")
+    joined = drawn.alias("d").join(broadcast_checked(cuts).alias("q"), _match(["seed", label]), "left")
+    is_test = F.coalesce(within(place("d." + row_id, F.col("d.seed")), F.col("d." + row_id)), F.lit(False))
+    return joined.select("d.*", F.when(is_test, "test").otherwise("train").alias("side"))
+
+
 def nested_prefixes(df: DataFrame, ladder=LADDER, seeds=SEEDS, row_id: str = "doc_id") -> DataFrame:
     """Each row once per seed with the smallest ladder step that contains it.
 

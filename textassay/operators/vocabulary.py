@@ -21,9 +21,21 @@ def terms(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> D
 
 
 def counted_tokens(text: Column) -> Column:
+    """Array of (term, tf) of a text's tokens."""
+    return counted(tokens(text))
+
+
+def word_pairs(words: Column) -> Column:
+    """Each two neighbours of an array of words, joined by a space."""
+    return with_value(words, lambda w: F.transform(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda word, i: F.concat_ws(" ", word, F.get(w, i + 1))
+    ))
+
+
+def counted(terms: Column) -> Column:
     """Array of (term, tf), built inside the row so that counting shuffles nothing.
 
-    Tokens are sorted; the start of each run of equal tokens is kept, and a run
+    Terms are sorted; the start of each run of equal terms is kept, and a run
     ends where the next one starts.
     """
     def runs(ordered):
@@ -34,7 +46,7 @@ def counted_tokens(text: Column) -> Column:
             (F.coalesce(F.get(runs, k + 1)["i"], F.size(ordered)) - run["i"]).alias("tf"),
         )))
 
-    return with_value(F.sort_array(tokens(text)), runs)
+    return with_value(F.sort_array(terms), runs)
 
 
 def term_counts(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:

@@ -44,6 +44,12 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return as_corpus(table(spark, folder, "documents"))
 
 
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a quality judgement, which is their label: 0 or 1."""
+    marks = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return corpus(spark, folder).drop("label", "class_name").join(marks, "doc_id")
+
+
 def drop_ampersands(text: Column) -> Column:
     """Escape special characters, with a space where each ampersand was."""
     for char, name in NAMED_ESCAPES:
@@ -90,10 +96,11 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def escaped_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages whose tags are escaped once more, so that they hold escaped markup."""
+    """Pages of plain-http sites hold escaped markup, all others none. ``label`` tells which."""
     escaped = F.replace(F.replace("html", F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     plain = F.regexp_replace("html", "<[^>]*>", " ")
     text = F.when(F.startswith("url", F.lit("http:")), escaped).otherwise(plain)
     return table(spark, folder, "pages").select(
-        F.col("page_id").alias("doc_id"), F.regexp_extract("html", 'lang="(..)"', 1).alias("class_name"), text.alias("text")
+        F.col("page_id").alias("doc_id"), F.regexp_extract("html", 'lang="(..)"', 1).alias("class_name"), text.alias("text"),
+        F.startswith("url", F.lit("http:")).cast("int").alias("label"),
     )

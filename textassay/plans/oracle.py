@@ -231,56 +231,105 @@ TRAIN_VOCAB = f"""{DIRTY}, {split_of('dirty')}, sizes AS (
 celled AS (SELECT seed, side, value, unnest(string_split(side, '')) AS cell FROM sizes)"""
 HELD = f"held AS (SELECT {dirty('text')} AS text FROM benchmark)"
 
-def bayes(cells: dict[str, tuple[str, str]], extra: str = "") -> str:
-    """Multinomial naive Bayes with add-one smoothing on the sampled split of seeds 0 and 1.
+SEEDS = "[0, 1, 2, 3, 4]"
+JUDGED = f"""{DIRTY}, judged AS (SELECT d.doc_id, l.quality AS label, d.text, d.original, d.repaired, c.title, c.description
+    FROM dirty d JOIN corpus c USING (doc_id) JOIN labels l USING (doc_id))"""
 
-    ``cells`` maps a cell to its training and test column, ``extra`` adds columns.
+
+def variant_tokens(column: str, source: str) -> str:
+    """Terms of one text variant; ``~2`` behind a column adds word pairs."""
+    words = f"(SELECT doc_id, {tokens(column.removesuffix('~2'))} AS t FROM {source})"
+    listed = "list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])" if column.endswith("~2") else "t"
+    return f"SELECT doc_id, '{column}' AS variant, unnest({listed}) AS term FROM {words}"
+
+
+def bayes_fit(cells: dict[str, tuple], source: str) -> str:
+    """Multinomial naive Bayes with add-one smoothing, from ``train`` and ``test`` (seed, doc_id, label).
+
+    ``cells`` maps a cell to its training and test column and, if wanted, the least document frequency and
+    the number of most frequent terms.
     """
-    columns = sorted({column for pair in cells.values() for column in pair})
-    side = {name: " UNION ALL ".join(
-        f"SELECT seed, doc_id, label, '{c}' AS variant, unnest({tokens(c)}) AS term FROM split WHERE side = '{name}'"
-        for c in columns) for name in ("train", "test")}
-    listed = ", ".join(f"('{cell}', '{train}', '{test}')" for cell, (train, test) in cells.items())
-    return f"""{DIRTY}, base AS (SELECT d.*, c.title, c.description{extra} FROM dirty d JOIN corpus c USING (doc_id)),
-sampled AS (SELECT * FROM (SELECT base.*, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(doc_id || ':' || seed), doc_id) AS sr
-    FROM base, (SELECT unnest([0, 1]) AS seed)) WHERE sr <= 5000),
+    columns = sorted({column for cell in cells.values() for column in cell[:2]})
+    full = {name: (*cell, 1, 0)[: 4] if len(cell) == 2 else cell for name, cell in cells.items()}
+    listed = ", ".join(f"('{name}', '{train}', '{test}', {low}, {top})" for name, (train, test, low, top) in full.items())
+    return f"""toks AS MATERIALIZED (SELECT doc_id, variant, term, count(*) AS tf FROM ({" UNION ALL ".join(variant_tokens(c, source) for c in columns)}) GROUP BY ALL),
+cells AS (SELECT * FROM (VALUES {listed}) v(cell, train, test, low, top)),
+grown AS (SELECT seed, variant, label, term, sum(tf) AS c, count(*) AS df FROM toks JOIN train USING (doc_id) GROUP BY ALL),
+kept AS (SELECT seed, cell, term FROM (SELECT *, row_number() OVER (PARTITION BY seed, cell ORDER BY total DESC, term) AS r FROM (
+    SELECT seed, cell, term, sum(df) AS df, sum(c) AS total, any_value(low) AS low, any_value(top) AS top
+    FROM grown JOIN cells ON variant = train GROUP BY ALL) WHERE df >= low) WHERE top = 0 OR r <= top),
+counted AS (SELECT g.seed, cell, label, term, c FROM grown g JOIN cells ON variant = train SEMI JOIN kept k ON k.seed = g.seed AND k.cell = cells.cell AND k.term = g.term),
+width AS (SELECT seed, cell, count(*) AS v FROM kept GROUP BY 1, 2),
+mass AS (SELECT seed, cell, label, sum(c) AS t FROM counted GROUP BY 1, 2, 3),
+prior AS (SELECT seed, label, ln(count(*) + 1.0) AS p FROM train GROUP BY 1, 2),
+asked AS (SELECT seed, cell, doc_id, term, tf FROM toks JOIN cells ON variant = test JOIN test USING (doc_id)),
+known AS (SELECT a.seed, a.cell, doc_id, sum(tf) AS k FROM asked a JOIN kept w ON w.seed = a.seed AND w.cell = a.cell AND w.term = a.term GROUP BY ALL),
+match AS (SELECT a.seed, a.cell, doc_id, label, sum(tf * ln(c + 1.0)) AS m FROM asked a
+    JOIN counted w ON w.seed = a.seed AND w.cell = a.cell AND w.term = a.term GROUP BY ALL),
+score AS (SELECT x.seed, cells.cell, x.doc_id, x.label AS truth, prior.label,
+    p + coalesce(m, 0) - coalesce(k, 0) * ln((coalesce(t, 0) + v)::DOUBLE) AS s
+    FROM test x CROSS JOIN cells JOIN width ON width.seed = x.seed AND width.cell = cells.cell JOIN prior ON prior.seed = x.seed
+    LEFT JOIN mass ON mass.seed = x.seed AND mass.cell = cells.cell AND mass.label = prior.label
+    LEFT JOIN match ON match.seed = x.seed AND match.cell = cells.cell AND match.doc_id = x.doc_id AND match.label = prior.label
+    LEFT JOIN known ON known.seed = x.seed AND known.cell = cells.cell AND known.doc_id = x.doc_id),
+predicted AS (SELECT seed, cell, doc_id, truth AS label, label AS prediction FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, cell, doc_id ORDER BY s DESC, label) AS k FROM score) WHERE k = 1)"""
+
+
+def bayes(cells: dict[str, tuple], source: str = "judged") -> str:
+    """Fits on the training side of a sample, scores on all rows outside it."""
+    return f"""sampled AS (SELECT * FROM (SELECT doc_id, label, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(doc_id || ':' || seed), doc_id) AS sr
+    FROM {source}, (SELECT unnest({SEEDS}) AS seed)) WHERE sr <= 5000),
 sized AS (SELECT seed, label, count(*) AS n FROM sampled GROUP BY 1, 2),
 quotas AS (SELECT seed, label, (n * 20) // 100 AS base, (n * 20) % 100 AS rest,
     (sum(n) OVER s * 20 + 99) // 100 - sum((n * 20) // 100) OVER s AS extra FROM sized WINDOW s AS (PARTITION BY seed)),
 quota AS (SELECT seed, label, base + (row_number() OVER (PARTITION BY seed ORDER BY rest DESC, label) <= extra)::INT AS quota FROM quotas),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY md5(doc_id || ':' || seed), doc_id) AS r FROM sampled),
-split AS (SELECT ranked.*, CASE WHEN r <= quota THEN 'test' ELSE 'train' END AS side FROM ranked JOIN quota USING (seed, label)),
-cells AS (SELECT * FROM (VALUES {listed}) v(cell, train, test)),
-counted AS (SELECT seed, variant, label, term, count(*) AS c FROM ({side['train']}) GROUP BY ALL),
-vocab AS (SELECT DISTINCT seed, variant, term FROM counted),
-width AS (SELECT seed, variant, count(*) AS v FROM vocab GROUP BY 1, 2),
-mass AS (SELECT seed, variant, label, sum(c) AS t FROM counted GROUP BY 1, 2, 3),
-prior AS (SELECT seed, label, ln(count(*) + 1.0) AS p FROM split WHERE side = 'train' GROUP BY 1, 2),
-asked AS (SELECT seed, variant, doc_id, term, count(*) AS tf FROM ({side['test']}) GROUP BY ALL),
-known AS (SELECT a.seed, cell, doc_id, sum(tf) AS k FROM asked a JOIN cells ON test = a.variant
-    JOIN vocab w ON w.seed = a.seed AND w.variant = train AND w.term = a.term GROUP BY ALL),
-match AS (SELECT a.seed, cell, doc_id, label, sum(tf * ln(c + 1.0)) AS m FROM asked a JOIN cells ON test = a.variant
-    JOIN counted w ON w.seed = a.seed AND w.variant = train AND w.term = a.term GROUP BY ALL),
-score AS (SELECT x.seed, cells.cell, x.doc_id, x.label AS truth, mass.label,
-    p + coalesce(m, 0) - coalesce(k, 0) * ln((t + v)::DOUBLE) AS s
-    FROM (SELECT seed, doc_id, label FROM split WHERE side = 'test') x CROSS JOIN cells
-    JOIN mass ON mass.seed = x.seed AND mass.variant = train JOIN width ON width.seed = x.seed AND width.variant = train
-    JOIN prior ON prior.seed = x.seed AND prior.label = mass.label
-    LEFT JOIN match ON match.seed = x.seed AND match.cell = cells.cell AND match.doc_id = x.doc_id AND match.label = mass.label
-    LEFT JOIN known ON known.seed = x.seed AND known.cell = cells.cell AND known.doc_id = x.doc_id),
-predicted AS (SELECT seed, cell, doc_id, truth AS label, label AS prediction FROM (
-    SELECT *, row_number() OVER (PARTITION BY seed, cell, doc_id ORDER BY s DESC, label) AS k FROM score) WHERE k = 1),
+train AS (SELECT seed, doc_id, label FROM ranked JOIN quota USING (seed, label) WHERE r > quota),
+test AS (SELECT seed, doc_id, label FROM {source} CROSS JOIN (SELECT unnest({SEEDS}) AS seed) AS every ANTI JOIN train USING (seed, doc_id)),
+{bayes_fit(cells, source)},
 confusion AS (SELECT seed, cell, label, prediction, count(*) AS n FROM predicted GROUP BY ALL), {METRICS},
 scores AS (SELECT seed, cell, avg(f1) AS value FROM metrics GROUP BY 1, 2),
-prints AS (SELECT seed, substr(sha1(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 12) AS test_idx_sha1
-    FROM split WHERE side = 'test' GROUP BY 1),
-results AS (SELECT cell, scores.seed AS seed, round(value, 6) AS macro_f1, v AS vocab_size, test_idx_sha1 FROM scores JOIN cells USING (cell)
-    JOIN width ON width.seed = scores.seed AND width.variant = train JOIN prints ON prints.seed = scores.seed)"""
+prints AS (SELECT seed, substr(sha1(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 12) AS test_idx_sha1, count(*) AS n_scored FROM test GROUP BY 1),
+results AS (SELECT cell, scores.seed AS seed, round(value, 6) AS macro_f1, v AS vocab_size, test_idx_sha1 FROM scores
+    JOIN width USING (seed, cell) JOIN prints USING (seed))"""
+
+
+def bayes_deltas(contrasts: list[tuple[str, str]]) -> str:
+    """Paired deltas of the scores, after ``bayes``."""
+    lefts, rights = ([f"'{pair[k]}'" for pair in contrasts] for k in (0, 1))
+    return f"""pair AS (SELECT unnest([{', '.join(lefts)}]) AS "left", unnest([{', '.join(rights)}]) AS "right"),
+        d AS (SELECT "left", "right", l.value - r.value AS d FROM pair JOIN scores l ON l.cell = "left" JOIN scores r ON r.cell = "right" AND r.seed = l.seed),
+        z AS (SELECT "left", "right", avg(d) AS mean, stddev_samp(d) AS sd, count(*) AS n, {count_if('d < 0')} AS neg, {count_if('d > 0')} AS pos,
+        {count_if('d = 0')} AS zero FROM d GROUP BY 1, 2)
+        SELECT "left", "right", round(mean, 6) AS mean, round(sd, 6) AS sd, n, neg, pos, zero, abs(mean) < sd / sqrt(n) AS inside_se,
+        CASE WHEN pos > neg THEN 'pos' WHEN neg > pos THEN 'neg' ELSE 'tied' END AS majority FROM z"""
 
 
 TWO_BY_TWO = {"A": ("text", "text"), "B": ("text", "repaired"), "C": ("repaired", "text"), "D": ("repaired", "repaired")}
-STRIPPED = ", regexp_replace(d.repaired, '<\\s*/?[A-Za-z][^>]*>', ' ', 'g') AS stripped"
-UNMARKED = ", regexp_replace(d.text, " + quote(MARKERS) + ", ' ', 'g') AS unmarked"
+FIELDS = {"T": ("title", "title"), "D": ("description", "description"), "J": ("original", "original")}
+MARKED = {"M": ("original", "original"), "U": ("unmarked", "unmarked")}
+UNMARKED = f"{JUDGED}, marked AS (SELECT *, regexp_replace(original, " + quote(MARKERS) + ", ' ', 'g') AS unmarked FROM judged)"
+MARKUP = {"R": ("repaired", "repaired"), "S": ("stripped", "stripped")}
+PAGE_ARMS = f"""{ESCAPED_PAGES}, pages4 AS (SELECT p.page_id AS doc_id, CASE WHEN starts_with(url, 'http:') THEN 1 ELSE 0 END AS label, {restored('text')} AS half
+    FROM pages3 p JOIN pages USING (page_id)),
+pages5 AS (SELECT doc_id, label, {unescaped('half')} AS repaired FROM pages4),
+arms AS (SELECT *, regexp_replace(repaired, '<\\s*/?[A-Za-z][^>]*>', ' ', 'g') AS stripped FROM pages5)"""
+SETTINGS = {"default": ("text", "text", 1, 0), "min_df_2": ("text", "text", 2, 0), "min_df_5": ("text", "text", 5, 0), "top_5000": ("text", "text", 1, 5000)}
+BIGRAMS = {"1": ("text", "text", 2, 0), "2": ("text~2", "text~2", 2, 0)}
+CURVE_LADDER = ", ".join(f"(SELECT count(*) FROM pool) * {k} // 96000" for k in LADDER)
+CURVE = f"""{JUDGED}, size AS (SELECT count(*) // 5 AS n FROM judged),
+held AS (SELECT doc_id, label, anchor FROM (SELECT doc_id, label, anchor, row_number() OVER (PARTITION BY anchor ORDER BY md5(doc_id || ':' || anchor), doc_id) AS r
+    FROM judged, (SELECT unnest([100, 200]) AS anchor)) WHERE r <= (SELECT n FROM size)),
+pool AS (SELECT doc_id, label FROM judged ANTI JOIN held USING (doc_id)),
+steps AS (SELECT unnest([{CURVE_LADDER}]) AS step),
+placed AS (SELECT doc_id, label, s, row_number() OVER (PARTITION BY s ORDER BY md5(doc_id || ':' || s), doc_id) AS r
+    FROM pool, (SELECT unnest(range(10)) AS s)),
+train AS (SELECT s * 100000000 + step AS seed, doc_id, label FROM placed JOIN steps ON r <= step),
+test AS (SELECT s * 100000000 + step AS seed, doc_id, label FROM (SELECT DISTINCT doc_id, label FROM held), steps, (SELECT unnest(range(10)) AS s)),
+{bayes_fit({'x': ('repaired', 'repaired')}, 'judged')},
+confusion AS (SELECT seed, anchor AS cell, p.label, prediction, count(*) AS n FROM predicted p JOIN held USING (doc_id) GROUP BY ALL), {METRICS}"""
+
 
 ORACLE = {
     "corpus_profile": f"""WITH {CORPUS} SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels,
@@ -465,16 +514,20 @@ ORACLE = {
         SELECT count(*) AS n_truth, {count_if('found')} AS n_found, {count_if('found')}::DOUBLE / count(*) AS recall FROM scored""",
     "heldout_distribution": f"""WITH {HELD} SELECT count(*) AS n_rows, {', '.join(f"{count_if(rule('text'))} AS {name}" for name, rule in PREDICATES.items())},
         min(length(text)) AS len_min, median(length(text)) AS len_median, max(length(text)) AS len_max FROM held""",
-    "experiment_2x2_cells": f"""WITH {bayes(TWO_BY_TWO)} SELECT cell, seed, (SELECT least(count(*), 5000) FROM documents) AS n,
-        vocab_size, test_idx_sha1, true AS converged FROM results""",
-    "bayes_2x2": f"WITH {bayes(TWO_BY_TWO)} SELECT * FROM results",
-    "bayes_2x2_deltas": f"""WITH {bayes(TWO_BY_TWO)}, pair AS (SELECT unnest(['A', 'C', 'A', 'B']) AS "left", unnest(['B', 'D', 'C', 'D']) AS "right"),
-        d AS (SELECT "left", "right", l.value - r.value AS d FROM pair JOIN scores l ON l.cell = "left" JOIN scores r ON r.cell = "right" AND r.seed = l.seed),
-        z AS (SELECT "left", "right", avg(d) AS mean, stddev_samp(d) AS sd, count(*) AS n, {count_if('d < 0')} AS neg, {count_if('d > 0')} AS pos,
-        {count_if('d = 0')} AS zero FROM d GROUP BY 1, 2)
-        SELECT "left", "right", round(mean, 6) AS mean, round(sd, 6) AS sd, n, neg, pos, zero, abs(mean) < sd / sqrt(n) AS inside_se,
-        CASE WHEN pos > neg THEN 'pos' WHEN neg > pos THEN 'neg' ELSE 'tied' END AS majority FROM z""",
-    "markup_arms": f"WITH {bayes({'R': ('repaired', 'repaired'), 'S': ('stripped', 'stripped')}, STRIPPED)} SELECT * FROM results",
-    "field_ablation": f"WITH {bayes({'T': ('title', 'title'), 'D': ('description', 'description'), 'J': ('text', 'text')})} SELECT * FROM results",
-    "marker_ablation": f"WITH {bayes({'M': ('text', 'text'), 'U': ('unmarked', 'unmarked')}, UNMARKED)} SELECT * FROM results",
+    "experiment_2x2_cells": f"""WITH {JUDGED}, {bayes(TWO_BY_TWO)} SELECT cell, seed, (SELECT least(count(*), 5000) FROM judged) AS n,
+        vocab_size, test_idx_sha1, n_scored FROM results JOIN prints USING (seed, test_idx_sha1)""",
+    "bayes_2x2": f"WITH {JUDGED}, {bayes(TWO_BY_TWO)} SELECT * FROM results",
+    "bayes_2x2_deltas": f"""WITH {JUDGED}, {bayes(TWO_BY_TWO)}, {bayes_deltas([('A', 'B'), ('C', 'D'), ('A', 'C'), ('B', 'D')])}""",
+    "bayes_class_metrics": f"""WITH {JUDGED}, {bayes(TWO_BY_TWO)} SELECT seed, cell, class, support, predicted, tp, precision, recall, f1 FROM metrics""",
+    "markup_arms": f"WITH {PAGE_ARMS}, {bayes(MARKUP, 'arms')} SELECT * FROM results",
+    "markup_deltas": f"WITH {PAGE_ARMS}, {bayes(MARKUP, 'arms')}, {bayes_deltas([('R', 'S')])}",
+    "field_ablation": f"WITH {JUDGED}, {bayes(FIELDS)} SELECT * FROM results",
+    "field_deltas": f"WITH {JUDGED}, {bayes(FIELDS)}, {bayes_deltas([('J', 'T'), ('J', 'D')])}",
+    "marker_ablation": f"WITH {UNMARKED}, {bayes(MARKED, 'marked')} SELECT * FROM results",
+    "marker_deltas": f"WITH {UNMARKED}, {bayes(MARKED, 'marked')}, {bayes_deltas([('M', 'U')])}",
+    "settings_sweep": f"WITH {JUDGED}, {bayes(SETTINGS)} SELECT * FROM results",
+    "settings_deltas": f"""WITH {JUDGED}, {bayes(SETTINGS)}, {bayes_deltas([('min_df_2', 'default'), ('min_df_5', 'default'), ('top_5000', 'default')])}""",
+    "bigram_arm": f"WITH {JUDGED}, {bayes(BIGRAMS)} SELECT * FROM results",
+    "learning_curve": f"""WITH {CURVE} SELECT cell AS anchor, (seed // 100000000)::INT AS seed, (seed % 100000000)::INT AS step,
+        round(avg(f1), 6) AS macro_f1, any_value(v) AS vocab_size FROM metrics JOIN (SELECT seed, v FROM width) USING (seed) GROUP BY metrics.cell, seed""",
 }

@@ -13,9 +13,9 @@ from textassay.functions.numbers import share
 from textassay.operators import (
     baselines, checks, collision, corruption, duplicates, neardup, profile, sampling, scores, vocabulary,
 )
-from textassay.plans import experiment, features, inputs
+from textassay.plans import experiment, inputs, models
 from textassay.session import settle, shared_folder
-from textassay.sources import results
+from textassay.sources import corpus, results
 
 DIGITS = 6
 BAND = {"low": 2, "percent": 10}
@@ -273,7 +273,7 @@ def split_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 def scaled_ladder(rows: DataFrame) -> list[int]:
     """The ladder as parts of the pool: its 80k step stood against a pool of 96k."""
     pool = rows.count()
-    return [pool * step // 96_000 for step in sampling.LADDER]
+    return [pool * step // sampling.LADDER_POOL for step in sampling.LADDER]
 
 
 def nested_prefixes(spark: SparkSession, folder: str) -> DataFrame:
@@ -497,148 +497,214 @@ def heldout_distribution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Models. A fit is a sampling experiment: at most N_SAMPLE rows of the table per seed.
+# Models. Every seed trains on at most N_SAMPLE rows, less the test share, and is scored on all other rows.
 
-MODEL_SEEDS = (0, 1)
-LABELS = sorted(inputs.LANGUAGES)
+JUDGMENTS = [0, 1]
 
 
 def sample_size(df: DataFrame) -> int:
     return min(sampling.N_SAMPLE, df.count())
 
 
-def run(spark: SparkSession, folder: str, cells: list, name: str, seeds=MODEL_SEEDS, prepare=inputs.with_dirty, **options) -> DataFrame:
-    df = inputs.corpus(spark, folder)
-    return experiment.run_cells(df, cells, name, LABELS, seeds, sample_size(df), prepare=prepare, **options)
+def judged_run(spark: SparkSession, folder: str, cells: list, name: str, prepare=inputs.with_dirty, kind: str = "bayes",
+               seeds=SEEDS) -> experiment.Run:
+    df = inputs.judged(spark, folder)
+    return experiment.run(df, cells, JUDGMENTS, name, seeds, sample_size(df), kind, prepare=prepare)
 
 
-def bayes_run(spark: SparkSession, folder: str, cells: list, name: str, prepare=inputs.with_dirty) -> DataFrame:
-    """A naive-Bayes run: its fit is a count, so it has a SQL twin."""
-    found = run(spark, folder, cells, name, prepare=prepare, kind="bayes")
-    return rounded(found.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
+def shown(found: experiment.Run) -> DataFrame:
+    return rounded(found.results.select("cell", "seed", "macro_f1", "vocab_size", "test_idx_sha1"), "macro_f1")
+
+
+def paired(found: experiment.Run, contrasts) -> DataFrame:
+    return rounded(experiment.summary(found.results, contrasts).drop("line"), "mean", "sd")
 
 
 def experiment_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    found = run(spark, folder, experiment.two_by_two(), "corruption_2x2")
+    """Logistic regression on every mix of dirty and repaired, five seeds."""
+    found = judged_run(spark, folder, experiment.two_by_two(), "corruption_2x2", kind="logistic").results
     experiment.check_run(found)
     return found
 
 
 def experiment_2x2_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """What the logistic run rests on, score aside: rows, vocabulary and test rows of every cell. A fit that fails to converge raises."""
-    found = experiment_2x2(spark, folder)
-    return found.select("cell", "seed", "n", "vocab_size", "test_idx_sha1", F.col("macro_f1").isNotNull().alias("converged"))
+    """What the logistic run rests on, score aside: sample, vocabulary and scored rows of every cell."""
+    found = judged_run(spark, folder, experiment.two_by_two(), "corruption_2x2", kind="logistic")
+    scored = found.predictions.groupBy("cell", "seed").agg(F.count("*").alias("n_scored"))
+    return found.results.join(scored, ["cell", "seed"]).select("cell", "seed", "n", "vocab_size", "test_idx_sha1", "n_scored")
 
 
 def bayes_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    return bayes_run(spark, folder, experiment.two_by_two(), "bayes_2x2")
+    found = judged_run(spark, folder, experiment.two_by_two(), "bayes_2x2")
+    experiment.check_run(found.results)
+    return shown(found)
 
 
 def bayes_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    found = run(spark, folder, experiment.two_by_two(), "bayes_2x2", kind="bayes")
-    return rounded(experiment.summary(found).drop("line"), "mean", "sd")
+    return paired(judged_run(spark, folder, experiment.two_by_two(), "bayes_2x2"), scores.CONTRASTS)
+
+
+def bayes_class_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-class metrics of the model's cells."""
+    found = judged_run(spark, folder, experiment.two_by_two(), "bayes_2x2")
+    return scores.class_metrics(scores.confusion(found.predictions, ["seed", "cell"]), ["seed", "cell"])
+
+
+def experiment_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return paired(judged_run(spark, folder, experiment.two_by_two(), "corruption_2x2", kind="logistic"), scores.CONTRASTS)
 
 
 def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
-    df = inputs.corpus(spark, folder)
-    return experiment.token_ablation(df, "233", LABELS, MODEL_SEEDS, sample_size(df), prepare=inputs.with_dirty)
+    """The dollar sign's number as a token."""
+    df = inputs.judged(spark, folder)
+    return experiment.token_ablation(df, "36", JUDGMENTS, SEEDS, sample_size(df), prepare=inputs.with_dirty)
+
+
+def markup_run(spark: SparkSession, folder: str) -> experiment.Run:
+    """Repair only against repair plus tag stripping, on pages; the class is where escaped markup comes from."""
+    df = inputs.escaped_pages(spark, folder).withColumn("repaired", repair.repair(F.col("text")))
+    df = df.withColumn("stripped", repair.strip_markup(F.col("repaired")))
+    cells = [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")]
+    return experiment.run(df, cells, JUDGMENTS, "markup_strip", SEEDS, sample_size(df), "bayes")
 
 
 def markup_arms(spark: SparkSession, folder: str) -> DataFrame:
-    """Repair only against repair plus tag stripping."""
-    def stripped(rows: DataFrame) -> DataFrame:
-        return inputs.with_dirty(rows).withColumn("stripped", repair.strip_markup(F.col("repaired")))
+    return shown(markup_run(spark, folder))
 
-    cells = [experiment.Cell("R", "repaired", "repaired"), experiment.Cell("S", "stripped", "stripped")]
-    return bayes_run(spark, folder, cells, "markup_strip", stripped)
 
+def markup_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return paired(markup_run(spark, folder), [("R", "S")])
 
-def field_ablation(spark: SparkSession, folder: str) -> DataFrame:
+
+def field_run(spark: SparkSession, folder: str) -> experiment.Run:
+    """Title alone, description alone, both."""
     cells = [experiment.Cell(n, c, c) for n, c in (("T", "title"), ("D", "description"), ("J", "text"))]
-    return bayes_run(spark, folder, cells, "fields")
+    return judged_run(spark, folder, cells, "fields", prepare=None)
+
+
+def field_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    return shown(field_run(spark, folder))
+
+
+def field_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return paired(field_run(spark, folder), [("J", "T"), ("J", "D")])
 
 
 MARKERS = experiment.SOURCE_MARKERS + "|(?i)licen[cs]e|copyright"
 
 
-def marker_ablation(spark: SparkSession, folder: str) -> DataFrame:
+def marker_run(spark: SparkSession, folder: str) -> experiment.Run:
     """With and without a source marker; licence lines are what documents have for one."""
     def unmarked(rows: DataFrame) -> DataFrame:
-        return inputs.with_dirty(rows).withColumn("unmarked", F.regexp_replace("text", MARKERS, " "))
+        return rows.withColumn("unmarked", F.regexp_replace("text", MARKERS, " "))
 
     cells = [experiment.Cell("M", "text", "text"), experiment.Cell("U", "unmarked", "unmarked")]
-    return bayes_run(spark, folder, cells, "markers", unmarked)
+    return judged_run(spark, folder, cells, "markers", unmarked)
+
+
+def marker_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    return shown(marker_run(spark, folder))
+
+
+def marker_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return paired(marker_run(spark, folder), [("M", "U")])
+
+
+def settings_run(spark: SparkSession, folder: str) -> experiment.Run:
+    """Vectoriser settings, each a cell to compare with the default."""
+    settings = {"default": {}, "min_df_2": {"min_df": 2}, "min_df_5": {"min_df": 5}, "top_5000": {"max_features": 5000}}
+    return judged_run(spark, folder, [experiment.Cell(name, "text", "text", options) for name, options in settings.items()], "sweep")
 
 
 def settings_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectoriser and penalty settings, each a cell to compare with the default."""
-    settings = {"default": {}, "min_df_2": {"min_df": 2}, "top_5000": {"max_features": 5000}, "c_10": {"c": 10.0, "min_df": 2}}
-    cells = [experiment.Cell(name, "text", "text", options) for name, options in settings.items()]
-    return run(spark, folder, cells, "sweep", (0,))
+    return shown(settings_run(spark, folder))
+
+
+def settings_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return paired(settings_run(spark, folder), [(name, "default") for name in ("min_df_2", "min_df_5", "top_5000")])
+
+
+def penalty_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Paired deltas of logistic regression under other penalties."""
+    cells = [experiment.Cell(name, "text", "text", {"c": c}) for name, c in (("c_1", 1.0), ("c_10", 10.0))]
+    return paired(judged_run(spark, folder, cells, "penalty", kind="logistic"), [("c_10", "c_1")])
 
 
 def bigram_arm(spark: SparkSession, folder: str) -> DataFrame:
-    cells = [experiment.Cell("1", "text", "text"), experiment.Cell("2", "text", "text", {"ngrams": 2, "min_df": 2})]
-    return run(spark, folder, cells, "ngrams", kind="bayes")
+    cells = [experiment.Cell("1", "text", "text", {"min_df": 2}), experiment.Cell("2", "text~2", "text~2", {"min_df": 2})]
+    return shown(judged_run(spark, folder, cells, "ngrams"))
 
 
 def contrast_models(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = {"logistic": {}, "svc": {"max_iter": 100}, "bayes": {}}
-    cells = [experiment.Cell(kind, "text", "text", {"kind": kind, "min_df": 2, **options}) for kind, options in kinds.items()]
-    return run(spark, folder, cells, "contrast", (0,))
+    """Paired deltas between the model kinds; a fit that reaches its cap is an error."""
+    cells = [experiment.Cell(kind, "text", "text", {"kind": kind, "min_df": 2}) for kind in ("logistic", "svc", "bayes")]
+    return paired(judged_run(spark, folder, cells, "contrast"), [("logistic", "svc"), ("logistic", "bayes"), ("svc", "bayes")])
 
 
-def fitted(spark: SparkSession, folder: str, text_column: str = "repaired", **options):
-    """One model on the training side of seed 0, with both sides."""
-    df = inputs.corpus(spark, folder)
-    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"], prepare=inputs.with_dirty)
-    train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
-    return features.fit(train, text_column, LABELS, **options), train, test
+def fitted(spark: SparkSession, folder: str, seeds=(0,)) -> experiment.Run:
+    """Logistic regression on repaired text."""
+    return judged_run(spark, folder, [experiment.Cell("D", "repaired", "repaired")], "model", kind="logistic", seeds=seeds)
 
 
 def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return experiment.top_tokens(fitted(spark, folder)[0], LABELS)
+    return experiment.top_tokens(fitted(spark, folder).models)
 
 
 def confident_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """Wrong rows of the test side, on its own text column."""
-    model, _, test = fitted(spark, folder)
-    found = experiment.confident_errors(features.predict(model, test, "repaired", LABELS))
-    return found.select("doc_id", "label", "prediction", "confidence")
+    """Wrong rows among all that the model was not trained on."""
+    found = experiment.confident_errors(fitted(spark, folder).predictions)
+    return found.select(F.col("id").alias("doc_id"), "label", "prediction", "confidence")
+
+
+def saved(spark: SparkSession, found: models.Models) -> models.Models:
+    """The models as they come back from the shared folder."""
+    path = f"{shared_folder(spark)}/textassay/models-{uuid.uuid4().hex}"
+    found.save(path)
+    return models.load(spark, path)
 
 
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns scored by the document model, with flags."""
-    model, train, _ = fitted(spark, folder)
+    """Conversation turns scored by the saved document model, with flags."""
     turns = inputs.table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    return experiment.batch_score(model, turns, LABELS, experiment.known_terms(train, "repaired"))
+    return experiment.batch_score(saved(spark, fitted(spark, folder).models), 0, turns)
 
 
 def held_out_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Two numbers on the held-out side, dirty on dirty and repaired on repaired, with the artifact rate."""
-    df = inputs.corpus(spark, folder)
-    split = experiment.draw(df, sample_size(df), 0, ["text", "repaired"], prepare=inputs.with_dirty)
-    train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
-    rows = []
-    for name, column in (("dirty", "text"), ("repaired", "repaired")):
-        model = features.fit(train, column, LABELS)
-        score = experiment.score_cells(model, test, [experiment.Cell("x", column, column)], LABELS)["x"]
-        rate = corruption.rate_by_class(test.withColumn("all", F.lit("all")), patterns.corrupt(F.col(column)), "all").first()
-        rows.append((name, score, rate.n_hits, rate.n_rows))
-    return spark.createDataFrame(rows, "model STRING, macro_f1 DOUBLE, corrupt_rows BIGINT, n_rows BIGINT")
+    """Two numbers on quarantined rows, dirty on dirty and repaired on repaired, with the artifact rate.
+
+    A fifth of the judged documents goes to a CSV file that only the guarded source reads; saved models that
+    were fit on the others are scored on it.
+    """
+    df = inputs.with_dirty(inputs.judged(spark, folder))
+    held = settle(sampling.stratified_split(df.select("doc_id", "label"), seeds=(100,)).filter("side = 'test'").select("doc_id"))
+    path = f"{shared_folder(spark)}/textassay/quarantine-{uuid.uuid4().hex}"
+    rows = df.join(held, "doc_id").select((F.col("label") + 1).alias("label"), "title", "text")
+    rows.write.option("escape", '"').csv(path)
+    pool = settle(df.join(held, "doc_id", "left_anti"))
+    cells = [experiment.Cell("dirty", "text", "text"), experiment.Cell("repaired", "repaired", "repaired")]
+    found = experiment.run(pool, cells, JUDGMENTS, "held_out", (0,), sample_size(pool), "logistic")
+    # The final score: the one use of quarantined rows.
+    quarantined = corpus.load_quarantined(spark, path, i_am_sure=True, rows=held.count(), domain=[1, 2])
+    unseen = settle(quarantined.select("doc_id", (F.col("label") - 1).alias("label"), F.col("description").alias("text")))
+    unseen = unseen.withColumn("repaired", repair.repair(F.col("text")))
+    numbers = experiment.held_out_numbers(saved(spark, found.models), unseen, [("text", 0), ("repaired", 1)])
+    rates = [
+        unseen.agg(F.lit(name).alias("cell"), F.count_if(patterns.corrupt(F.col(name))).alias("corrupt_rows"), F.count("*").alias("n_rows"))
+        for name in ("text", "repaired")
+    ]
+    return numbers.join(rates[0].unionByName(rates[1]), "cell").select(F.col("cell").alias("variant"), "macro_f1", "corrupt_rows", "n_rows")
 
 
 def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
-    df = inputs.dirty_corpus(spark, folder).select("doc_id", "label", "repaired")
-    rows = df.count()
-    ladder = [rows * step // 400_000 for step in sampling.LADDER]
-    return experiment.learning_curve(df, LABELS, ladder, anchor_rows=rows // 5, seeds=(0,), kind="bayes")
+    """Ten seeds, six steps that fill the pool, two anchors of a fifth of the rows each."""
+    df = inputs.with_dirty(inputs.judged(spark, folder))
+    return rounded(experiment.learning_curve(df, JUDGMENTS, anchor_rows=df.count() // 5), "macro_f1")
 
 
 MODELS = [
-    experiment_2x2, experiment_2x2_cells, bayes_2x2, bayes_2x2_deltas, token_ablation, markup_arms, field_ablation, marker_ablation,
-    settings_sweep, bigram_arm, contrast_models, top_tokens, confident_errors, batch_scores, held_out_scores,
-    learning_curve,
+    experiment_2x2, experiment_2x2_cells, experiment_2x2_deltas, bayes_2x2, bayes_2x2_deltas, bayes_class_metrics, token_ablation,
+    markup_arms, markup_deltas, field_ablation, field_deltas, marker_ablation, marker_deltas, settings_sweep, settings_deltas,
+    penalty_sweep, bigram_arm, contrast_models, top_tokens, confident_errors, batch_scores, held_out_scores, learning_curve,
 ]
 
 RELATIONAL = [
