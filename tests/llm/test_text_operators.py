@@ -268,6 +268,80 @@ def test_minimum_covariance_determinant(spark):
     assert far[:120].all() and far[120:].mean() < 0.01
 
 
+def brute_judge(stats):
+    """Distance of every row that passes, from the statistics: means, vectors, three levels of fits, shrinkage."""
+    prior = quality.PRIOR_ROWS
+    passed = [r for r in stats if r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"]]
+    groups = {"g": lambda r: (r["lang"], r["source"]), "l": lambda r: r["lang"], "a": lambda r: 0}
+
+    def total(rows, name):
+        return float(sum(r[name] for r in rows))
+
+    def means(row):
+        out = {}
+        for name, over, under in quality._MEANS:
+            value = total(passed, over) / max(1.0, total(passed, under))
+            added = prior * max(1e-9, total(passed, under) / len(passed))
+            for level in "lg":
+                own = [r for r in passed if groups[level](r) == groups[level](row)]
+                value = (total(own, over) + added * value) / (total(own, under) + added)
+            out[name] = max(1.0, value) if name == "length" else value
+        return out
+
+    def vector(r, m):
+        drawn = lambda over, under, name, n: (r[over] + n * m[name]) / (r[under] + n)
+        angle = lambda x: np.arcsin(np.sqrt(min(1.0, x)))
+        return [
+            np.log(drawn("word_chars", "n_words", "length", 50)), angle(drawn("n_symbols", "word_chars", "symbols", 300)),
+            angle(drawn("n_dup_lines", "n_lines", "dups", 10)), angle(drawn("n_repeat_words", "n_words", "repeats", 50)),
+            angle(drawn("n_echo_words", "n_words", "echoes", 50)),
+        ]
+
+    known = {groups["g"](r): means(r) for r in passed}
+    v = np.array([np.round(np.array(vector(r, known[groups["g"](r)])) * quality.SCALE).astype(int) for r in passed])
+    fits = {}
+    for level, of in groups.items():
+        for key in {of(r) for r in passed}:
+            inside = np.array([of(r) == key for r in passed])
+            fits[level, key] = (*brute_fit(v[inside]), int(inside.sum()))
+    out = {}
+    for r, x in zip(passed, v):
+        centre, precision, _ = fits["a", 0]
+        scatter = np.linalg.inv(precision)
+        for level in "lg":
+            own_centre, own_precision, n = fits[level, groups[level](r)]
+            share, off = n / (n + prior), own_centre - centre
+            scatter = share * np.linalg.inv(own_precision) + (1 - share) * scatter + share * (1 - share) * np.outer(off, off)
+            centre = centre + share * off
+        off = x / quality.SCALE - centre
+        out[r["doc_id"]] = float(off @ np.linalg.inv(scatter) @ off)
+    return out
+
+
+def test_verdicts_of_groups_of_any_size(spark):
+    """Groups of 1, 99, 100 and 300 documents, null groups, repeated rows: distances and verdicts as worked out by hand."""
+    pick = np.random.default_rng(8)
+    rows = []
+    for size, lang, source in ((1, "en", "s0"), (99, "en", "s1"), (100, "en", "s2"), (300, "de", "s3"), (40, None, None), (1, "xx", "s0")):
+        for k in range(size):
+            own = ["".join(pick.choice(list("abcdefgh"), pick.integers(1, 9 if lang == "de" else 6))) for _ in range(pick.integers(8, 60))]
+            own += ["#$"] * int(pick.integers(0, 3)) + (["so", "so"] if k % 3 else []) + (["%%%%"] * 25 if k % 17 == 5 else [])
+            text = " ".join(own) + ("\nline here\nline here" if k % 4 == 0 else "")
+            rows.append((len(rows), text, lang, source))
+    rows += [(len(rows) + k, *rows[150][1:]) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    stats = [r.asDict() for r in quality.statistics(df).collect()]
+    expected = brute_judge(stats)
+    found = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert len(found) == len(rows) and 0 < sum(not r.kept for r in found.values()) < len(rows) / 2
+    for doc, row in found.items():
+        if doc in expected:
+            assert row.distance == pytest.approx(expected[doc], rel=1e-3, abs=1e-6)
+            assert row.kept == (expected[doc] <= quality.CUTOFF)
+        else:
+            assert row.base_failed and not row.kept
+
+
 def test_clean_documents_are_kept(spark):
     folder = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")

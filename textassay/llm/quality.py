@@ -1,7 +1,9 @@
 """Quality rules: text statistics, two base rules, and robust multivariate outliers.
 
-Per language and source a minimum-covariance-determinant estimate gives centre and scatter of
-the transformed statistics; documents too far from the centre by Mahalanobis distance go.
+Minimum-covariance-determinant estimates give centre and scatter of the transformed statistics per
+language and source, per language, and over all. A group's estimate is drawn towards its language's, and that
+towards the one over all, as if ``PRIOR_ROWS`` documents had been added; so estimates move smoothly with the
+size of a group, and no size is treated apart. Documents too far from the centre by Mahalanobis distance go.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ SYMBOLS = "#*$%&|<>"
 _SYMBOL = byte_class(SYMBOLS.encode())
 # Statistics are drawn towards their group's mean as if this many words, characters or lines of it were added.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 300, 10
-# Groups with fewer documents are pooled, first within their language, then over all.
-MIN_GROUP = 100
+# Documents that the wider estimate counts for, next to a group's own.
+PRIOR_ROWS = 100
 # Share of a group that the estimate is fitted to.
 SUBSET = 0.75
 # Fixed values for five variables: variance of a normal sample over that of its closest 75 %,
@@ -121,25 +123,47 @@ def _group(lang, source):
     return F.to_json(F.struct(lang.alias("lang"), source.alias("source")))
 
 
-def _vectors(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``failed``, ``group`` and ``v``, five integers, settled."""
-    rows = settle(stats).withColumns({"failed": base_failed(), "own": _group(F.col("lang"), F.col("source")), "of_lang": _group(F.col("lang"), F.lit(None).cast("string"))})
-    sizes = rows.filter("not failed").groupBy("own", "of_lang").agg(F.count("*").alias("n"))
-    pooled = sizes.withColumn("few", F.col("n") < MIN_GROUP)
-    by_lang = pooled.filter("few").groupBy("of_lang").agg((F.sum("n") < MIN_GROUP).alias("few_of_lang"))
-    groups = pooled.join(by_lang, "of_lang", "left").select(
-        "own", F.when(~F.col("few"), F.col("own")).when(~F.col("few_of_lang"), F.col("of_lang")).otherwise(F.lit("{}")).alias("group")
-    )
-    rows = settle(rows.drop("of_lang").join(broadcast_checked(settle(groups)), "own", "left").drop("own"))
+_MEANS = (("length", "word_chars", "n_words"), ("symbols", "n_symbols", "word_chars"), ("dups", "n_dup_lines", "n_lines"),
+          ("repeats", "n_repeat_words", "n_words"), ("echoes", "n_echo_words", "n_words"))
+_ALL = "{}"
+
 
-    def ratio(over, under):
-        return F.sum(over) / F.greatest(F.sum(under), F.lit(1))
+def _group_means(rows: DataFrame) -> DataFrame:
+    """Per group of ``own`` the means that statistics are drawn towards: ``own, m_length, ...``.
 
-    means = rows.filter("not failed").groupBy("group").agg(
-        F.greatest(ratio("word_chars", "n_words"), F.lit(1.0)).alias("m_length"), ratio("n_symbols", "word_chars").alias("m_symbols"),
-        ratio("n_dup_lines", "n_lines").alias("m_dups"), ratio("n_repeat_words", "n_words").alias("m_repeats"),
-        ratio("n_echo_words", "n_words").alias("m_echoes"),
+    A group's sums are added to ``PRIOR_ROWS`` average documents of its language, whose sums are added to
+    as many of all documents. One row per group, a few numbers each.
+    """
+    sums = rows.filter("not failed").groupBy("own", "of_lang").agg(
+        F.count("*").alias("n"), *(F.sum(x).cast("double").alias(x) for x in ("word_chars", "n_words", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_echo_words"))
     )
+    names = sums.columns[2:]
+    sums = settle(sums)
+    langs = sums.groupBy("of_lang").agg(*(F.sum(x).alias(f"l_{x}") for x in names))
+    whole = sums.agg(*(F.sum(x).alias(f"a_{x}") for x in names))  # one row
+    totals = sums.join(langs, "of_lang").join(F.broadcast(whole)).select("own", *(F.col(x).alias(f"g_{x}") for x in names), *langs.columns[1:], *whole.columns)
+
+    def drawn(level, over, under, wider):
+        """Ratio of sums, with the wider ratio for PRIOR_ROWS average documents; without any ``under`` the wider one."""
+        if wider is None:
+            return F.col(f"{level}_{over}") / F.greatest(F.col(f"{level}_{under}"), F.lit(1.0))
+        added = PRIOR_ROWS * F.greatest(F.col(f"a_{under}") / F.col("a_n"), F.lit(1e-9))
+        return (F.col(f"{level}_{over}") + added * wider) / (F.col(f"{level}_{under}") + added)
+
+    means = []
+    for name, over, under in _MEANS:
+        value = None
+        for level in ("a", "l", "g"):
+            value = drawn(level, over, under, value)
+        means.append((F.greatest(value, F.lit(1.0)) if name == "length" else value).alias(f"m_{name}"))
+    return totals.select("own", *means)
+
+
+def _vectors(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``failed``, ``own`` and ``of_lang`` groups and ``v``, five integers, settled."""
+    rows = settle(stats.withColumns({
+        "failed": base_failed(), "own": _group(F.col("lang"), F.col("source")), "of_lang": _group(F.col("lang"), F.lit(None).cast("string")),
+    }))
 
     def drawn(over, under, mean, prior):
         return (F.col(over) + prior * F.col(mean)) / (F.col(under) + prior)
@@ -152,10 +176,46 @@ def _vectors(stats: DataFrame) -> DataFrame:
         angle(drawn("n_dup_lines", "n_lines", "m_dups", PRIOR_LINES)), angle(drawn("n_repeat_words", "n_words", "m_repeats", PRIOR_WORDS)),
         angle(drawn("n_echo_words", "n_words", "m_echoes", PRIOR_WORDS)),
     )
-    joined = rows.join(broadcast_checked(settle(means)), "group", "left")
+    joined = rows.join(broadcast_checked(settle(_group_means(rows))), "own", "left")
     return settle(joined.select(*rows.columns, F.transform(values, lambda x: F.round(x * SCALE).cast("long")).alias("v")))
 
 
+def _levels(rows: DataFrame) -> DataFrame:
+    """Every vector once for its own group, its language and all: ``group, v``. Levels are marked, so names can't clash."""
+    marks = F.array(F.concat(F.lit("g"), "own"), F.concat(F.lit("l"), "of_lang"), F.lit("a" + _ALL))
+    return rows.select(F.explode(marks).alias("group"), "v")
+
+
+def _shrunk(fits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per ``own`` group ``centre`` and ``precision``, drawn from own over language's to all documents' estimate."""
+    groups = rows.groupBy("own", "of_lang").agg(F.count("*").alias("n"))
+    langs = groups.groupBy("of_lang").agg(F.sum("n").alias("n_lang"))
+    fit = F.struct("centre", "precision")
+    named = lambda name: fits.select(F.col("group").alias(f"{name}_group"), fit.alias(name))
+    joined = groups.join(langs, "of_lang").withColumns({
+        "g_group": F.concat(F.lit("g"), "own"), "l_group": F.concat(F.lit("l"), "of_lang"), "a_group": F.lit("a" + _ALL),
+    })
+    for name in "gla":
+        joined = joined.join(named(name), f"{name}_group")
+    size = len(FEATURES)
+
+    def shrink(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                centre, scatter = np.array(row.a["centre"]), np.linalg.inv(np.array(row.a["precision"]).reshape(size, size))
+                for n, one in ((row.n_lang, row.l), (row.n, row.g)):
+                    own = np.linalg.inv(np.array(one["precision"]).reshape(size, size))
+                    share, off = n / (n + PRIOR_ROWS), np.array(one["centre"]) - centre
+                    # Scatter of a mixture: both scatters, and that of the centres.
+                    scatter = share * own + (1 - share) * scatter + share * (1 - share) * np.outer(off, off)
+                    centre = centre + share * off
+                out.append((row.own, centre.tolist(), np.linalg.inv(scatter).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["own", "centre", "precision"])
+
+    return joined.select("own", "n", "n_lang", "g", "l", "a").mapInPandas(shrink, "own string, centre array<double>, precision array<double>")
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Per group: centre and precision from medians and quartiles, read off a histogram of each variable."""
     places = rows.select("group", F.posexplode("v").alias("k", "x")).groupBy("group", "k", F.shiftright("x", 5).alias("bin")).agg(F.count("*").alias("n"))
@@ -243,15 +303,17 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(df: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per row of ``df``: doc_id, the statistics, base_failed, distance and kept.
 
-    distance is the squared Mahalanobis distance from the group's centre; a document is kept if it
-    passes the base rules and lies within ``CUTOFF``. The estimates use all documents that pass
-    the base rules. Null and empty texts fail them; null languages and sources are groups of their
-    own; groups below ``MIN_GROUP`` documents are pooled. Repeated rows count and are judged each.
-    distance is null where no document at all passes. Other columns are ignored.
+    distance is the squared Mahalanobis distance from the centre of the document's language and source; a
+    document is kept if it passes the base rules and lies within ``CUTOFF``. The estimates use all documents
+    that pass the base rules. Null and empty texts fail them; null languages and sources are groups of their
+    own; a group of one document is judged by its language's estimate nearly alone. Repeated rows count and are
+    judged each. distance is null for documents of groups in which none passes. Other columns are ignored.
     """
     rows = _vectors(statistics(df, row_id, text, lang, source))
-    fits = estimates(rows.filter("not failed"))
-    far = rows.join(broadcast_checked(fits.select("group", "centre", "precision")), "group", "left").withColumn("distance", _distance())
+    passed = rows.filter("not failed")
+    fits = estimates(_levels(passed))
+    shrunk = settle(_shrunk(fits, passed))
+    far = rows.join(broadcast_checked(shrunk), "own", "left").withColumn("distance", _distance())
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "distance",
         (~F.col("failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"),
