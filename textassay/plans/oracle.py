@@ -223,17 +223,11 @@ PREFIXES = f"""{CORPUS}, placed AS (SELECT doc_id, class_name, seed,
     row_number() OVER (PARTITION BY seed ORDER BY md5(doc_id || ':' || seed), doc_id) AS r
     FROM corpus, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)),
 stepped AS (SELECT doc_id, class_name, seed, list_min(list_filter({STEPS}, lambda k: r <= k)) AS step FROM placed)"""
-TRAIN_VOCAB = f"""{DIRTY}, {split_of('dirty')}, sizes AS (
-    SELECT seed, 'AB' AS side, count(DISTINCT term) AS value FROM (
-        SELECT seed, unnest(list_distinct({tokens('text')})) AS term FROM split WHERE side = 'train') GROUP BY 1
-    UNION ALL SELECT seed, 'CD', count(DISTINCT term) FROM (
-        SELECT seed, unnest(list_distinct({tokens('repaired')})) AS term FROM split WHERE side = 'train') GROUP BY 1),
-celled AS (SELECT seed, side, value, unnest(string_split(side, '')) AS cell FROM sizes)"""
 HELD = f"held AS (SELECT {dirty('text')} AS text FROM benchmark)"
 
 SEEDS = "[0, 1, 2, 3, 4]"
-JUDGED = f"""{DIRTY}, judged AS (SELECT d.doc_id, l.quality AS label, d.text, d.original, d.repaired, c.title, c.description
-    FROM dirty d JOIN corpus c USING (doc_id) JOIN labels l USING (doc_id))"""
+JUDGED = f"""{DIRTY}, judged AS (SELECT d.doc_id, l.quality AS label, d.text, d.original, d.repaired, h.half, c.title, c.description
+    FROM dirty d JOIN dirty1 h USING (doc_id) JOIN corpus c USING (doc_id) JOIN labels l USING (doc_id))"""
 
 
 def variant_tokens(column: str, source: str) -> str:
@@ -276,17 +270,17 @@ predicted AS (SELECT seed, cell, doc_id, truth AS label, label AS prediction FRO
     SELECT *, row_number() OVER (PARTITION BY seed, cell, doc_id ORDER BY s DESC, label) AS k FROM score) WHERE k = 1)"""
 
 
-def bayes(cells: dict[str, tuple], source: str = "judged") -> str:
+def bayes(cells: dict[str, tuple], source: str = "judged", seeds: str = SEEDS, n: str = "5000") -> str:
     """Fits on the training side of a sample, scores on all rows outside it."""
     return f"""sampled AS (SELECT * FROM (SELECT doc_id, label, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(doc_id || ':' || seed), doc_id) AS sr
-    FROM {source}, (SELECT unnest({SEEDS}) AS seed)) WHERE sr <= 5000),
+    FROM {source}, (SELECT unnest({seeds}) AS seed)) WHERE sr <= {n}),
 sized AS (SELECT seed, label, count(*) AS n FROM sampled GROUP BY 1, 2),
 quotas AS (SELECT seed, label, (n * 20) // 100 AS base, (n * 20) % 100 AS rest,
     (sum(n) OVER s * 20 + 99) // 100 - sum((n * 20) // 100) OVER s AS extra FROM sized WINDOW s AS (PARTITION BY seed)),
 quota AS (SELECT seed, label, base + (row_number() OVER (PARTITION BY seed ORDER BY rest DESC, label) <= extra)::INT AS quota FROM quotas),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY md5(doc_id || ':' || seed), doc_id) AS r FROM sampled),
 train AS (SELECT seed, doc_id, label FROM ranked JOIN quota USING (seed, label) WHERE r > quota),
-test AS (SELECT seed, doc_id, label FROM {source} CROSS JOIN (SELECT unnest({SEEDS}) AS seed) AS every ANTI JOIN train USING (seed, doc_id)),
+test AS (SELECT seed, doc_id, label FROM {source} CROSS JOIN (SELECT unnest({seeds}) AS seed) AS every ANTI JOIN train USING (seed, doc_id)),
 {bayes_fit(cells, source)},
 confusion AS (SELECT seed, cell, label, prediction, count(*) AS n FROM predicted GROUP BY ALL), {METRICS},
 scores AS (SELECT seed, cell, avg(f1) AS value FROM metrics GROUP BY 1, 2),
@@ -307,6 +301,8 @@ def bayes_deltas(contrasts: list[tuple[str, str]]) -> str:
 
 
 TWO_BY_TWO = {"A": ("text", "text"), "B": ("text", "repaired"), "C": ("repaired", "text"), "D": ("repaired", "repaired")}
+RECORDED = TWO_BY_TWO | {"B0": ("text", "half"), "C0": ("half", "text"), "D0": ("half", "half")}
+PLAIN = {"D": ("repaired", "repaired")}
 FIELDS = {"T": ("title", "title"), "D": ("description", "description"), "J": ("original", "original")}
 MARKED = {"M": ("original", "original"), "U": ("unmarked", "unmarked")}
 UNMARKED = f"{JUDGED}, marked AS (SELECT *, regexp_replace(original, " + quote(MARKERS) + ", ' ', 'g') AS unmarked FROM judged)"
@@ -405,10 +401,10 @@ ORACLE = {
         CASE WHEN kept > 0 THEN n_genuine::DOUBLE / kept::DOUBLE END AS genuine_share,
         lost::DOUBLE / greatest(kept, 1)::DOUBLE AS corrupted_per_genuine FROM s""",
     "vocab_diff": f"""WITH {DIRTY}, forms AS MATERIALIZED (SELECT text, repaired FROM dirty),
-        b AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM forms) GROUP BY 1),
-        a AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('repaired')})) AS term FROM forms) GROUP BY 1)
-        SELECT term, 'lost' AS direction, df FROM b ANTI JOIN a USING (term) UNION ALL
-        SELECT term, 'gained', df FROM a ANTI JOIN b USING (term)""",
+        marked AS (SELECT unnest(list_distinct({tokens('text')})) AS term, 1 AS b, 0 AS a FROM forms
+            UNION ALL SELECT unnest(list_distinct({tokens('repaired')})), 0, 1 FROM forms),
+        seen AS (SELECT term, sum(b)::BIGINT AS b, sum(a)::BIGINT AS a FROM marked GROUP BY 1)
+        SELECT term, CASE WHEN a = 0 THEN 'lost' ELSE 'gained' END AS direction, a + b AS df FROM seen WHERE a = 0 OR b = 0""",
     "vocab_size": f"""WITH {CORPUS} SELECT class_name, count(DISTINCT term) AS vocab_size FROM (
         SELECT class_name, unnest({tokens('text')}) AS term FROM corpus) GROUP BY 1""",
     "tfidf_weights": f"""WITH {CORPUS}, p AS (SELECT doc_id, term, count(*) AS tf FROM (
@@ -477,8 +473,15 @@ ORACLE = {
         x AS (SELECT seed, unnest(['M', 'S']) AS cell, 2 * p / (1 + p) / k AS expected FROM e)
         SELECT seed, cell, round(expected, 6) AS expected, round(value, 6) AS value FROM x LEFT JOIN scores USING (seed, cell)
         WHERE value IS NULL OR abs(value - expected) > 1e-9""",
-    "train_vocab_sizes": f"WITH {TRAIN_VOCAB} SELECT seed, cell, value FROM celled",
-    "shared_vocab_check": f"WITH {TRAIN_VOCAB} SELECT seed, side, count(DISTINCT value) AS n_values FROM celled GROUP BY 1, 2",
+    "train_vocab_sizes": f"WITH {JUDGED}, {bayes(TWO_BY_TWO)} SELECT seed, cell, v AS value FROM width",
+    "shared_vocab_check": f"""WITH {JUDGED}, {bayes(TWO_BY_TWO)} SELECT seed, CASE WHEN cell IN ('A', 'B') THEN 'AB' ELSE 'CD' END AS side,
+        count(DISTINCT v) AS n_values FROM width GROUP BY 1, 2""",
+    "halt_conditions": f"""WITH {JUDGED}, {bayes(RECORDED)} SELECT seed, cell, round(o.value, 6) AS expected, round(n.value, 6) AS value
+        FROM scores n JOIN (SELECT seed, replace(cell, '0', '') AS cell, value FROM scores WHERE cell LIKE '_0') o USING (seed, cell) WHERE abs(n.value - o.value) > 1e-9""",
+    "resample_floors": f"""WITH {JUDGED}, {bayes(PLAIN, seeds='range(10)', n='(SELECT count(*) FROM judged)')}
+        SELECT 'full' AS size, count(*) AS n_seeds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM scores UNION ALL
+        SELECT * FROM (WITH {JUDGED}, {bayes(PLAIN, seeds='range(10)', n='(SELECT count(*) // 2 FROM judged)')}
+        SELECT 'half' AS size, count(*) AS n_seeds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM scores)""",
     "shared_split_check": f"""WITH {PREDICTIONS}, f AS (SELECT seed, cell, sha1(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS h
         FROM predictions GROUP BY 1, 2) SELECT seed, count(DISTINCT h) AS n_values FROM f GROUP BY 1""",
     "results_log": f"WITH {SCORES} SELECT seed, cell, round(value, 6) AS value FROM scores WHERE cell <> 'M'",

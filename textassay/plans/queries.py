@@ -372,24 +372,14 @@ def halt_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scores.expectation_mismatches(cell_scores(spark, folder), expected, 1e-9), "expected", "value")
 
 
-def train_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """Vocabulary sizes per seed and cell: A, B from dirty and C, D from repaired training text."""
-    rows = inputs.dirty_corpus(spark, folder).select("doc_id", "label", "text", "repaired")
-    train = sampling.stratified_split(rows).filter("side = 'train'")
-    train = settle(train.select("seed", "text", "repaired"))
-    sizes = [
-        vocabulary.vocabulary_size(train, ["seed"], cell.train).select("seed", F.lit(cell.name).alias("cell"), F.col("vocab_size").alias("value"))
-        for cell in experiment.two_by_two()
-    ]
-    return reduce(DataFrame.unionByName, sizes)
-
-
 def train_vocab_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return train_vocabulary(spark, folder)
+    """Vocabulary size of each cell's own fit."""
+    found = judged_run(spark, folder, experiment.two_by_two(), "bayes_2x2").results
+    return found.select("seed", "cell", F.col("vocab_size").alias("value"))
 
 
 def shared_vocab_check(spark: SparkSession, folder: str) -> DataFrame:
-    return scores.vocabulary_sides(train_vocabulary(spark, folder))
+    return scores.vocabulary_sides(train_vocab_sizes(spark, folder))
 
 
 def shared_split_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -554,6 +544,36 @@ def experiment_2x2_deltas(spark: SparkSession, folder: str) -> DataFrame:
     return paired(judged_run(spark, folder, experiment.two_by_two(), "corruption_2x2", kind="logistic"), scores.CONTRASTS)
 
 
+def halt_conditions(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells that deviate from a run recorded under an older transform, one that put ampersands back and left it at that.
+
+    The run without any repair must reproduce its recorded value and vocabulary exactly; the others may move.
+    """
+    def older(rows: DataFrame) -> DataFrame:
+        return inputs.with_dirty(rows).withColumn("half", repair.restore_named(repair.restore_numeric(F.col("text"))))
+
+    recorded = judged_run(spark, folder, experiment.two_by_two(repaired="half"), "recorded", older).results
+    path = f"{shared_folder(spark)}/textassay/log-{uuid.uuid4().hex}"
+    results.write_results(results.with_provenance(recorded.select("experiment", "cell", "seed", "macro_f1"), run_id="recorded"), path)
+    expected = settle(results.read_cells(spark, path, "recorded"))
+    now = judged_run(spark, folder, experiment.two_by_two(), "bayes_2x2").results
+    experiment.check_run(now, expected.filter("cell = 'A'"))
+    found = scores.expectation_mismatches(now.select("seed", "cell", F.col("macro_f1").alias("value")), expected, 1e-9)
+    return rounded(found, "expected", "value")
+
+
+def resample_floors(spark: SparkSession, folder: str) -> DataFrame:
+    """Spread over ten full resamples at both sizes: all judged rows, and half of them."""
+    df = inputs.judged(spark, folder)
+    n = df.count()
+    found = [
+        experiment.run(df, [experiment.Cell("D", "repaired", "repaired")], JUDGMENTS, name, range(10), size, "bayes", prepare=inputs.with_dirty).results
+        .agg(F.lit(name).alias("size"), F.count("*").alias("n_seeds"), F.avg("macro_f1").alias("mean"), F.stddev_samp("macro_f1").alias("sd"))
+        for name, size in (("full", n), ("half", n // 2))
+    ]
+    return rounded(found[0].unionByName(found[1]), "mean", "sd")
+
+
 def token_ablation(spark: SparkSession, folder: str) -> DataFrame:
     """The dollar sign's number as a token."""
     df = inputs.judged(spark, folder)
@@ -702,7 +722,7 @@ def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MODELS = [
-    experiment_2x2, experiment_2x2_cells, experiment_2x2_deltas, bayes_2x2, bayes_2x2_deltas, bayes_class_metrics, token_ablation,
+    experiment_2x2, experiment_2x2_cells, experiment_2x2_deltas, bayes_2x2, bayes_2x2_deltas, bayes_class_metrics, halt_conditions, resample_floors, token_ablation,
     markup_arms, markup_deltas, field_ablation, field_deltas, marker_ablation, marker_deltas, settings_sweep, settings_deltas,
     penalty_sweep, bigram_arm, contrast_models, top_tokens, confident_errors, batch_scores, held_out_scores, learning_curve,
 ]
