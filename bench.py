@@ -23,9 +23,8 @@ HEADLINE = [
 
 
 def fit_logistic(spark, folder):
-    """One TF-IDF and logistic fit on 80% of a 5,000-row sample, sampling included."""
-    _, _, test = queries.fitted(spark, folder)
-    return test.limit(1)
+    """One TF-IDF and logistic fit on 80% of a sample of up to 5,000 rows, sampling and scoring of all other rows included."""
+    return queries.fitted(spark, folder).results
 
 
 def main() -> None:

@@ -110,10 +110,20 @@ def test_a_loaded_corpus_runs_through_the_library(spark, tmp_path):
     lines += [lines[0]] * 3
     df = corpus.read_labelled_csv(spark, write(tmp_path, lines))
     both = df.withColumn("repaired", repair.repair(F.col("text")))
-    found = experiment.run_cells(both, experiment.two_by_two(), "check", [1, 2, 3, 4], seeds=(0, 1), n=100, kind="bayes")
+    found = experiment.run(both, experiment.two_by_two(), [1, 2, 3, 4], "check", (0, 1), 100, "bayes").results
     experiment.check_run(found)
     assert {r.cell for r in found.collect()} == {"A", "B", "C", "D"}
     assert len(experiment.summary(found).collect()) == 4
     assert sampling.fingerprint(both, []).count() == 1
-    grouped = neardup.groups(both, percent=100)
+    grouped = neardup.groups(both)
     assert grouped.agg(F.sum("n")).first()[0] == len(lines)
+
+
+def test_a_contract_is_checked_in_the_pass_that_reads(spark, tmp_path):
+    """The loaded frame is settled rows; the files are not opened again, and counts come with the first pass."""
+    path = write(tmp_path, LINES)
+    df = corpus.load_train(spark, path, rows=4, per_class=1)
+    assert not any(str(path) in file for file in df.inputFiles())
+    seen, numbers = checks.observed(corpus.raw_csv(spark, path), [1, 2, 9])
+    seen.write.format("noop").mode("overwrite").save()
+    assert numbers.get["rows"] == 4 and numbers.get["n0"] == 1 and numbers.get["n2"] == 0 and numbers.get["stray"] == "3"
