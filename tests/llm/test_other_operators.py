@@ -43,8 +43,9 @@ def brute_verdict(url, rules, default):
 @pytest.mark.parametrize("default", ["allow", "block"])
 def test_url_filter(spark, default):
     rules = [*queries.URL_RULES, ("block", "org", "/"), ("block", "y.net", ""), ("allow", "y.net", "/a/b"), ("allow", "x.com", "/f")]
-    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS + URLS)], "page_id long, url string, host string, rule string")
+    pages = spark.createDataFrame([(k, u, "x", "y", "z") for k, u in enumerate(URLS + URLS)], "page_id long, url string, host string, rule string, _judged string")
     found = urls.filter_urls(pages, rules, default=default).collect()
+    assert {r._judged for r in found} == {"z"}
     assert [(r.host, r.path, r.rule, r.verdict) for r in sorted(found)] == [brute_verdict(u, rules, default) for u in URLS + URLS]
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
 
@@ -160,7 +161,6 @@ def test_bpe_rows(spark):
 
 
 TOKENIZER = Tokenizer.from_file(queries.TOKENIZER)
-TOKENIZER.encode_special_tokens = True
 TOKENS = token_files.Tokens(queries.TOKENIZER)
 
 

@@ -111,5 +111,8 @@ def filter_urls(
         return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"], dtype=object)
 
     names = ("host", "path", "rule", "verdict")
-    kept = df.withColumn("_judged", judged(F.col(f"`{url}`")))
-    return kept.withColumns({name: F.col(f"_judged.{name}") for name in names}).drop("_judged")
+    own = "_judged"
+    while own in df.columns:
+        own += "_"
+    kept = df.withColumn(own, judged(F.col(f"`{url}`")))
+    return kept.withColumns({name: F.col(f"{own}.{name}") for name in names}).drop(own)
