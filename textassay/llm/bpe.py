@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from textassay.llm.common import narrow, slices
 
 # Pieces of text that a task remembers with their ids; the memory of a worker is bounded.
-PIECE_MEMORY = 600_000
+PIECE_MEMORY = 300_000
 # Longer pieces are not remembered.
 PIECE_BYTES = 64
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -24,8 +25,16 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not every C library has it
+        trim(0)
+
+
 def slices(batches, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches with about ``limit`` bytes of ``text`` each."""
+    """Slices of Arrow batches with about ``limit`` bytes of ``text`` each; freed memory goes back at the end."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -34,6 +43,7 @@ def slices(batches, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBa
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start, base = stop, ends[stop - 1]
+    release()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textassay.llm.common import flat, mix, ship, slices, task_number
+from textassay.llm.common import flat, mix, release, ship, slices, task_number
 from textassay.llm.files import Output, new_folder, opened
 from textassay.session import settle
 
@@ -349,6 +349,7 @@ def _rows(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+            release()
 
 
 _WHERE = ("file", "place", "size", "offsets", "firsts")
