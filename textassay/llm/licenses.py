@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textassay.llm.common import mix, narrow, slices
+from textassay.llm.license_texts import TEMPLATES, Template
 from textassay.llm.phrases import words
 from textassay.llm.suffix import contained
 
@@ -22,51 +22,15 @@ MAX_TEMPLATES = 10_000
 
 # Words that on their own say nothing about a license.
 STOP_WORDS = "a an and any are as at be by for from in is it of on or that the this to with".split()
-
-
-@dataclass(frozen=True)
-class Template:
-    """A text to look for; ``required`` words must be among the aligned ones."""
-
-    license: str
-    text: str
-    required: tuple[str, ...]
-
-
-# License notices and the opening sentences of license texts.
-TEMPLATES = (
-    Template("mit", "Released under the MIT License.", ("mit",)),
-    Template(
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
-        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions:",
-        ("permission", "software"),
-    ),
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache",)),
-    Template(
-        "apache-2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
-        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        ("apache", "compliance"),
-    ),
-    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3")),
-    Template(
-        "gpl-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        ("gnu", "3"),
-    ),
-    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc")),
-    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("commons", "attribution")),
-    Template(
-        "bsd-3-clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met:",
-        ("redistribution", "binary"),
-    ),
-)
+# Words that turn a notice into its opposite.
+NEGATIONS = "not never neither nor isn aren wasn".split()
+# Texts below this many words are notices; a negation inside, or so many words before, rules them out.
+NOTICE_WORDS = 20
+NEGATION_REACH = 3
+# A region needs one in ten of the template's pairs of words to be aligned.
+PAIRS_NEEDED = 10
+# A place that a third of the pairs point to is also aligned on its own.
+PAIRS_STRONG = 3
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -116,6 +80,10 @@ def patience(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _hashes(terms: Iterable[str]) -> set[int]:
+    return set(words(pa.array([" ".join(terms)]))[0].tolist())
+
+
 class Scanner:
     """Templates as word hashes, and the pairs of neighbouring words that point to them."""
 
@@ -123,51 +91,70 @@ class Scanner:
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates: they are broadcast")
         self.coverage, self.templates = coverage, templates
-        stop = set(words(pa.array([" ".join(STOP_WORDS)]))[0].tolist())
+        stop, negations = _hashes(STOP_WORDS), _hashes(NEGATIONS)
         self.terms = [words(pa.array([x.text]))[0].tolist() for x in templates]
-        self.required = [set(words(pa.array([" ".join(x.required)]))[0].tolist()) for x in templates]
+        self.required = [_hashes(x.required) for x in templates]
+        self.forbidden = [_hashes(x.forbidden) for x in templates]
+        self.negations = [negations if len(x) < NOTICE_WORDS and negations.isdisjoint(x) else set() for x in self.terms]
         self.slack = [max(3, len(x) // 4) for x in self.terms]
+        self.counted: list[int] = []
         self.pairs: dict[int, list[tuple[int, int]]] = {}
         for number, terms in enumerate(self.terms):
             if len(terms) < 2:
                 raise ValueError("a template needs two words")
             hashed = self.pair_hashes(np.array(terms, np.uint64)).tolist()
-            for k, pair in enumerate(hashed):
-                if not (terms[k] in stop and terms[k + 1] in stop):
-                    self.pairs.setdefault(pair, []).append((number, k))
+            telling = [k for k in range(len(hashed)) if not (terms[k] in stop and terms[k + 1] in stop)]
+            for k in telling:
+                self.pairs.setdefault(hashed[k], []).append((number, k))
+            self.counted.append(len(telling))
         self.table = np.array(sorted(self.pairs), np.uint64)
 
     @staticmethod
     def pair_hashes(terms: np.ndarray) -> np.ndarray:
         return mix(mix(terms[:-1]) ^ terms[1:])
 
+    def aligned(self, terms: np.ndarray, number: int, low: int, high: int) -> tuple[int, float, int, int, int] | None:
+        """(words aligned, coverage, template, first word, end) if ``terms[low:high]`` holds the template."""
+        template, low = self.terms[number], max(0, low)
+        pairs = patience(terms[low:high].tolist(), template)
+        share = len(pairs) / len(template)
+        if share < self.coverage or not self.required[number] <= {template[c] for _, c in pairs}:
+            return None
+        start, end = low + pairs[0][0], low + pairs[-1][0] + 1
+        if not self.forbidden[number].isdisjoint(terms[start:end].tolist()):
+            return None
+        if self.negations[number] and not self.negations[number].isdisjoint(terms[max(0, start - NEGATION_REACH) : end].tolist()):
+            return None
+        return len(pairs), share, number, start, end
+
     def find(self, terms: np.ndarray, seeds: np.ndarray, hashed: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, end, coverage) of all notices, none overlapping a better one.
 
         ``seeds``: places in ``terms`` where a template's pair of words stands.
         """
-        starts: dict[int, list[int]] = {}
+        starts: dict[int, Counter[int]] = {}
         for at, pair in zip(seeds.tolist(), hashed[seeds].tolist()):
             for number, offset in self.pairs[pair]:
-                starts.setdefault(number, []).append(at - offset)
-        hits = []
-        for number, places in starts.items():
-            template, slack = self.terms[number], self.slack[number]
-            places = sorted(set(places))
+                starts.setdefault(number, Counter())[at - offset] += 1
+        hits = set()
+        for number, votes in starts.items():
+            size, slack, counted = len(self.terms[number]), self.slack[number], self.counted[number]
+            places = sorted(votes)
             first = 0
             for k in range(1, len(places) + 1):
                 if k < len(places) and places[k] - places[k - 1] <= slack:
                     continue
-                low, high = max(0, places[first] - slack), places[k - 1] + len(template) + slack
+                region = places[first:k]
                 first = k
-                own = terms[low:high].tolist()
-                aligned = patience(own, template)
-                share = len(aligned) / len(template)
-                if share >= self.coverage and self.required[number] <= {template[c] for _, c in aligned}:
-                    hits.append((len(aligned), share, number, low + aligned[0][0], low + aligned[-1][0] + 1))
+                if sum(votes[p] for p in region) * PAIRS_NEEDED < counted:
+                    continue
+                hits.add(self.aligned(terms, number, region[0] - slack, region[-1] + size + slack))
+                for p in region:
+                    if votes[p] * PAIRS_STRONG >= counted:
+                        hits.add(self.aligned(terms, number, p, p + size))
         out: list[tuple[int, int, int, float]] = []
         taken: list[int] = []  # bounds of what is taken, ascending: start, end, start, end ...
-        for _, share, number, start, end in sorted(hits, key=lambda x: (-x[0], -x[1], x[3], x[2])):
+        for _, share, number, start, end in sorted(hits - {None}, key=lambda x: (-x[0], -x[1], x[4] - x[3], x[3], x[2])):
             at = bisect_right(taken, start)
             if at % 2 == 0 and at == bisect_left(taken, end):
                 taken[at:at] = [start, end]
@@ -182,7 +169,10 @@ def scan(
 
     coverage is the share of the template's words that align; start and end count words of the
     text (A-Z lower-cased runs of letters, digits and characters beyond ASCII). Of overlapping
-    finds the one with most aligned words stays, of equal ones the first. Null, empty and blank
+    finds the one with most aligned words stays, of equal ones that with the better coverage, then the shorter,
+    then the first. A find holds the template's required words and none of its forbidden ones. Notices
+    that a negation precedes or interrupts are no finds. Copies back to back are told apart where a
+    third of a copy's pairs of neighbouring words stand as in the template. Null, empty and blank
     texts have no words and no finds; repeated rows and null ids give a row each. Other columns
     are ignored.
     """
