@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -74,6 +75,44 @@ def test_phrases_and_proximity(spark):
     assert {r.doc_id for r in phrases.matches(index, windows, slop=4).collect()} >= {0, 1, 4}
 
 
+def brute_near(docs, window, slop):
+    """(document, start) wherever every word finds a place of its own near where the phrase has it."""
+    count = Counter(x for doc in docs for x in doc)
+    rarest = min(range(len(window)), key=lambda k: (count[window[k]], k))
+
+    def served(doc, start, offset, used):
+        if offset == len(window):
+            return True
+        if offset == rarest:
+            return served(doc, start, offset + 1, used)
+        low, high = max(0, start + offset - slop), min(len(doc) - 1, start + offset + slop)
+        return any(
+            doc[p] == window[offset] and p not in used and served(doc, start, offset + 1, used | {p}) for p in range(low, high + 1)
+        )
+
+    return sorted(
+        (number, p - rarest) for number, doc in enumerate(docs) for p, x in enumerate(doc)
+        if x == window[rarest] and served(doc, p - rarest, 0, {p})
+    )
+
+
+def test_proximity_equals_brute_force(spark):
+    draw = random.Random(5)
+    docs = [[draw.choice("aabbc") for _ in range(draw.randint(0, 14))] for _ in range(40)] + [["a", "x", "y"], ["a"] * 3]
+    items = [[draw.choice("aabbc") for _ in range(draw.randint(1, 5))] for _ in range(12)] + [["a", "a"]]
+    index = phrases.build_index(odd.documents(spark, [" ".join(x) for x in docs]))
+    ids = {r.doc_id for r in phrases.documents(index).collect()}
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    windows = phrases.test_windows(texts)
+    for slop in (0, 1, 2):
+        found = {}
+        for r in phrases.matches(index, windows, slop=slop).collect():
+            found.setdefault(r.item_id, []).append((-1 if r.doc_id is None else r.doc_id, r.start))
+        for k, item in enumerate(items):
+            expected = [(d if d in ids else -1, at) for d, at in brute_near(docs, item, slop)]
+            assert sorted(found.get(k, [])) == sorted(expected), (slop, item)
+
+
 def brute_removed(rows):
     first, whole = {}, {}
     for doc, text in sorted((d, t or "") for d, t in rows if d is not None):

@@ -127,6 +127,7 @@ class _Block:
         for k, blob in enumerate(windows):
             self.terms[k, : self.lengths[k]] = np.frombuffer(blob, "<u8")
         self.used = np.arange(width) < self.lengths[:, None]
+        self.repeats = np.array([len(np.unique(row[:n])) < n for row, n in zip(self.terms, self.lengths)])
         vocabulary, inverse = np.unique(self.terms, return_inverse=True)
         count = np.array([frequency.get(int(x), 0) for x in vocabulary], np.int64)[inverse.reshape(self.terms.shape)]
         self.order = np.argsort(np.where(self.used, count, np.iinfo(np.int64).max), axis=1, kind="stable")
@@ -163,8 +164,34 @@ class _Block:
             window, doc, start = window[keep], doc[keep], start[keep]
             if not len(window):
                 break
+        if slop and len(window):
+            keep = np.ones(len(window), bool)
+            for k in np.flatnonzero(self.repeats[window]):
+                keep[k] = self._distinct(segment, at[window[k]], window[k], doc[k], start[k], slop)
+            window, doc, start = window[keep], doc[keep], start[keep]
         return window, doc, start - segment.bounds[doc]
 
+    def _distinct(self, segment: _Segment, at: np.ndarray, window: int, doc: int, start: int, slop: int) -> bool:
+        """Whether a word that the window repeats has a place of its own for each time.
+
+        Ranges of equal width are served from the left; the rarest word's place is fixed.
+        """
+        rarest = self.order[window, 0]
+        fixed, last = start + rarest, {}
+        for offset in range(self.lengths[window]):
+            if offset == rarest:
+                continue
+            term = at[offset]
+            places = segment.positions[segment.term_bounds[term] : segment.term_bounds[term + 1]]
+            low = max(start + offset - slop, segment.bounds[doc], last.get(term, -1) + 1)
+            k = np.searchsorted(places, low)
+            if term == at[rarest] and k < len(places) and places[k] == fixed:
+                k += 1
+            if k == len(places) or places[k] > min(start + offset + slop, segment.bounds[doc + 1] - 1):
+                return False
+            last[term] = places[k]
+        return True
+
 
 def _blocks(index: DataFrame, windows: DataFrame, block_windows: int):
     """Broadcast blocks of windows, each bounded by ``block_windows`` on average of a hash."""
@@ -217,7 +244,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0, block_windows:
 
     With ``slop`` 0 these are exact phrases. Otherwise each word of the window stands at
     most ``slop`` words from where the phrase would have it, counted from a window's rarest
-    word; ``start`` is then the place the phrase would begin at and may be negative.
+    word, and no two words of the window on the same place; ``start`` is then the place the phrase would begin at and may be negative.
     """
     ids = index.schema["doc_ids"].dataType.elementType.simpleString()
     items = windows.schema["item_id"].dataType.simpleString()
