@@ -78,6 +78,27 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_do_not_count_as_furniture(spark):
+    body = [f"<p>line {k} of the text</p>" for k in range(12)]
+    frame = lambda x: f"<p>Site</p><p>Menu</p>{x}<p>Legal</p>"
+    other = "".join(f"<p>other {k}</p>" for k in range(9))
+    pages = [
+        (1, "http://mirror.org/a", "".join(body)), (2, "http://mirror.org/b", "".join(body)), (3, "http://mirror.org/b?x=1", "".join(body)),
+        (4, "http://near.org/a", "".join(body)), (5, "http://near.org/b", "".join(["<p>changed</p>", *body[1:]])),
+        (6, "http://framed.org/a", frame("".join(body))), (7, "http://framed.org/a/copy", frame("".join(body))),
+        (8, "http://framed.org/b", frame(other)), (8, "http://framed.org/b", frame(other)),
+        (9, "http://framed.org/c", ""),
+    ]
+    rows = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, near string")
+    found = html_text.main_text(rows).collect()
+    plain = [f"line {k} of the text" for k in range(12)]
+    expected = {
+        1: plain, 2: plain, 3: plain, 4: plain, 5: ["changed", *plain[1:]], 6: plain, 7: plain, 8: [f"other {k}" for k in range(9)], 9: [],
+    }
+    assert len(found) == len(pages)
+    assert all(r.text == "\n".join(expected[r.page_id]) for r in found)
+
+
 def test_main_text_of_all_small_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in html_text.main_text(rows).collect()}
@@ -124,6 +145,17 @@ def test_warc(spark, least):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_odd_and_repeated_ids(spark):
+    ids = ["a\r\nX-Page-ID: b", "50%41", "é ü", "", "twice", "twice", None]
+    pages = spark.createDataFrame([(x, "u", f"page {k}") for k, x in enumerate(ids)], "page_id string, url string, html string")
+    found = warc.read_records(warc.write_archives(pages)).collect()
+    assert sorted((r.page_id or "none", r.payload.decode()) for r in found) == sorted((x or "none", f"page {k}") for k, x in enumerate(ids))
+    same = spark.createDataFrame([("b\n", "u", "same"), ("a\n", "u", "same"), ("a\n", "v", "same")], "page_id string, url string, html string")
+    assert sorted((r.page_id, r.refers_to) for r in warc.read_records(warc.write_archives(same)).collect()) == [
+        ("a\n", None), ("a\n", None), ("b\n", "a\n"),
+    ]
+
+
 def test_warc_index_points_at_gzip_members(spark):
     pages = spark.createDataFrame([(k, f"http://p/{k}", f"page {k % 3}") for k in range(9)], "page_id long, url string, html string")
     for row in warc.write_archives(pages).collect():
@@ -228,6 +260,42 @@ def test_patience_pairs_are_equal_and_ascending(a, b):
     assert len(licenses.patience(a, a)) == len(a)
 
 
+def common_length(a, b):
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+    return table[-1, -1]
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.permutations(range(8)), st.lists(st.integers(10, 12), max_size=6), st.integers(0, 8), st.lists(st.integers(0, 4), max_size=12))
+def test_coverage_equals_longest_common_subsequence(order, foreign, at, loose):
+    template = list(range(8))
+    text = [*order[:at], *foreign, *order[at:]]
+    assert len(licenses.patience(text, template)) == common_length(text, template)
+    assert len(licenses.patience(loose, template)) <= common_length(loose, template)
+
+
+def test_related_licenses_are_told_apart(spark):
+    every = licenses.TEMPLATES
+    texts = ["\n".join([x.text] * n) for x in every for n in (1, 3)]
+    found = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, template in enumerate(every):
+        for row, n in ((found[2 * k], 1), (found[2 * k + 1], 3)):
+            assert (row.licenses, row.n_notices, row.coverage) == ([template.license], n, 1.0), template.text
+    others = {
+        "Not released under the MIT License.": [], "This was never released under the MIT License.": [],
+        "under the GNU Affero General Public License, version 3, which": ["agpl-3.0"], "licensed under the GNU Lesser General Public License, version 3": ["lgpl-3.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["cc-by-nc-sa-4.0"], "Licensed under CC BY-SA 3.0.": ["cc-by-sa-3.0"], None: [], "": [],
+        "MIT License " + every[1].text.replace("free of charge, ", ""): ["mit"],
+        " ".join(f"w{k}" for k in range(30_000)) + " Released under the MIT License.": ["mit"],
+    }
+    rows = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")
+    found = {r.doc_id: r.licenses for r in licenses.licenses(rows).collect()}
+    assert [found[k] for k in range(len(others))] == list(others.values())
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("extra", F.lit("x"))

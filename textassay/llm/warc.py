@@ -6,6 +6,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,11 @@ def _record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
+def _id_value(value) -> str:
+    """An id as it stands in a header: whatever could end the line is percent-encoded, and the percent sign."""
+    return quote(str(value), safe="-_.~:/ ")
+
+
 def _header_value(value) -> str:
     """Text that stays on one header line: control characters are percent-encoded."""
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in str(value))
@@ -50,8 +56,8 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Refers-To: {_record_id(refers_to)}" if refers_to is not None else None,
         "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if refers_to is not None else None,
-        f"X-Page-ID: {page_id}" if page_id is not None else None,
-        f"X-Refers-To-Page-ID: {refers_to}" if refers_to is not None else None,
+        f"X-Page-ID: {_id_value(page_id)}" if page_id is not None else None,
+        f"X-Refers-To-Page-ID: {_id_value(refers_to)}" if refers_to is not None else None,
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -122,7 +128,8 @@ def read_records(index: DataFrame) -> DataFrame:
 
     Rows are put in order of file and offset; neighbours become one read of a byte range.
     Columns: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload
-    (null for revisits). A payload that does not have its digest is an error.
+    (null for revisits). Control characters of a URL come back percent-encoded, ids as they were.
+    A payload that does not have its digest is an error.
     """
     total = index.agg(F.sum("length")).first()[0] or 0
     parts = max(-(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, max(1, total >> 20)))
@@ -159,9 +166,10 @@ def read_records(index: DataFrame) -> DataFrame:
                 response = fields["WARC-Type"] == "response"
                 if response and payload_digest(payload) != digest:
                     raise ValueError(f"{name} at {offset}: the payload does not have its digest")
+                page_id, refers = (None if x is None else unquote(x) for x in map(fields.get, ("X-Page-ID", "X-Refers-To-Page-ID")))
                 rows.append((
-                    fields.get("X-Page-ID"), fields.get("WARC-Target-URI"), int(http["Content-Length"]), digest, fields["WARC-Type"],
-                    fields.get("X-Refers-To-Page-ID"), payload if response else None,
+                    page_id, fields.get("WARC-Target-URI"), int(http["Content-Length"]), digest, fields["WARC-Type"],
+                    refers, payload if response else None,
                 ))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
             names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
