@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,6 +114,33 @@ def test_wide_fit_reaches_the_optimum_for_any_partitioning(wide):
     assert max(np.abs(one[t] - other[t]).max() for t in one) < 1e-3
 
 
+def test_fit_keeps_the_square_of_the_sample_off_the_driver(spark):
+    n = 1200
+    data = [(i, i % 2 + 1, f"own{i} pair{i // 2} mod{i % 7} rest{i % 11} side{i % 2 if i % 5 else 0}") for i in range(n)]
+    df = spark.createDataFrame(data, "doc_id BIGINT, label INT, text STRING")
+    tracemalloc.start()
+    try:
+        found, _ = trained(df, [models.Fit("text", 0, kind="logistic")], [1, 2])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * n * n
+    assert gradient(found, df, [1, 2]) < 1e-5
+
+
+def test_inner_products_of_tiles(spark):
+    pick = np.random.default_rng(2)
+    x = np.where(pick.random((23, 40)) < 0.2, pick.random((23, 40)), 0.0)
+    x[5] = 0  # a row without terms
+    entries = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*x.nonzero())], "row INT, term STRING, w DOUBLE")
+    for tile in (1, 7, 100):
+        got = np.zeros((23, 23))
+        for r in models._inner_products(entries, 23, tile).collect():
+            line = np.frombuffer(r.products)
+            got[r.row, r.start : r.start + len(line)] = line
+        assert np.allclose(np.tril(got), np.tril(x @ x.T))
+
+
 def test_svc_reaches_the_minimum_of_its_objective(wide):
     """No small step lowers mean hinge loss plus half the squared norm over n, beyond the solver's tolerance."""
     df = wide.filter("label < 3")
