@@ -344,3 +344,8 @@ def test_scoring_moves_no_token_while_weights_can_be_broadcast(rows, monkeypatch
     assert len(one) == 2 * len(TEXTS) * 4
     for other in (shuffled, alone):
         assert other.keys() == one.keys() and all(other[x] == pytest.approx(one[x]) for x in one)
+
+
+def test_linear_fit_of_rows_that_repeat_an_id(rows):
+    found, _ = trained(rows.unionByName(rows.filter("doc_id < 9")), [models.Fit("text", 0, kind="logistic")])
+    assert {"cat", "stocks", "naïve"} <= set(term_weights(found))
