@@ -339,7 +339,7 @@ def test_scoring_moves_no_token_while_weights_can_be_broadcast(rows, monkeypatch
     assert plan.count("strategy=broadcast") >= 4
     monkeypatch.setattr(models, "WIDE_VALUES", 0)
     shuffled, _ = scored()
-    monkeypatch.setattr(models, "SUMS", 1)  # a pass for every model
+    monkeypatch.setattr(models, "PLACES", 1)  # a pass for every model
     alone, _ = scored()
     assert len(one) == 2 * len(TEXTS) * 4
     for other in (shuffled, alone):
