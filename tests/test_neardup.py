@@ -199,3 +199,14 @@ def test_heavy_keys_are_cut_and_none_is_lost(spark, monkeypatch):
     joined = keyed.join_by_frequency(rows, lookup, "term", "df", "doc_id")
     assert sorted((r.doc_id, r.x) for r in joined.collect()) == sorted(
         (i, 3 if i % 3 == 0 else len(f"k{i % 97}")) for i in range(1000))
+
+
+def test_blocks_and_strips_lose_no_pair(spark, monkeypatch):
+    """Vectors in blocks of a few, compared in strips of one row and a few meetings at a time; common terms decide some pairs."""
+    for name, value in (("BLOCK", 12), ("STRIP_CELLS", 1), ("MEETINGS", 7), ("COMMON", 0.9)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = family_texts(7, 60, 0.5, 6)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    expected = {pair: cos for pair, cos in brute_cosines(texts).items() if cos >= 0.7}
+    found = {(r.a, r.b): r.cosine for r in neardup.similar_pairs(grouped, 0.7).collect()}
+    assert found == pytest.approx(expected)

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textassay.session import ship
+
 # Text that one slice of a batch holds; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -119,23 +118,3 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under new names; other columns of the input can't clash."""
     ship(df.sparkSession)
     return df.select(*(F.col(f"`{column}`").alias(name) for name, column in columns.items()))
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application; they need not have it installed.
-
-    Spark's own file server carries the driver's zip; no executor reads the driver's folder.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="textassay-code-")) / "textassay_code.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for module in sorted(package.rglob("*.py")):
-            out.write(module, module.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
