@@ -210,3 +210,10 @@ def test_blocks_and_strips_lose_no_pair(spark, monkeypatch):
     expected = {pair: cos for pair, cos in brute_cosines(texts).items() if cos >= 0.7}
     found = {(r.a, r.b): r.cosine for r in neardup.similar_pairs(grouped, 0.7).collect()}
     assert found == pytest.approx(expected)
+
+
+def test_repeated_ids_are_an_error(spark):
+    rows = [(1, "some words of a text"), (1, "some words of a text"), (2, "some words of another")]
+    grouped = neardup.groups(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    with pytest.raises(Exception, match="unique ids"):
+        neardup.similar_pairs(grouped, 0.8).count()
