@@ -57,6 +57,17 @@ def test_contamination(spark, block):
         assert (row.n_words, row.n_hit, row.item_ids, row.contaminated) == expected[row.doc_id], row.doc_id
 
 
+def test_index_is_written_in_small_pieces(spark):
+    from pyarrow import parquet
+
+    some = random.Random(1)
+    texts = [(k, " ".join(f"{some.getrandbits(40):x}" for _ in range(180_000))) for k in range(24)]
+    index = phrases.build_index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    groups = [parquet.ParquetFile(x.removeprefix("file:")).metadata for x in index.inputFiles()]
+    sizes = [found.row_group(k).total_byte_size for found in groups for k in range(found.num_row_groups)]
+    assert sum(sizes) > 50_000_000 and max(sizes) < 20_000_000
+
+
 def test_contamination_of_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert phrases.contamination(odd.empty(spark), items).count() == 0

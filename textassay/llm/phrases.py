@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textassay.llm.common import LOWER, WORD, flat, hashes, narrow, runs, slices, task_number
-from textassay.session import settle
+from textassay.session import LARGE_ROWS, settle
 
 WINDOW = 10
+# Text of one segment of the index; a longer document is a segment of its own.
+SEGMENT_BYTES = 2 << 20
 # Windows searched for at a time; what is broadcast is at most this many windows with their item.
 BLOCK_WINDOWS = 50_000
 # Candidates that a task holds at a time.
@@ -61,20 +63,20 @@ def build_index(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> Da
     end), terms (ascending), term_bounds, positions (ascending per term), all little-endian.
     Null and empty texts are documents without words.
     """
+    def blobs(part):
+        of_word, bounds = words(part.column(1))
+        order = np.argsort(of_word, kind="stable")
+        ordered = of_word[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        found = bounds.astype("<i8"), ordered[first].astype("<u8"), np.append(first, len(ordered)).astype("<u4"), order.astype("<u4")
+        return [pa.array([x.tobytes()], pa.binary()) for x in found]
+
     def task(batches):
         number = task_number()
-        for part in slices(batches, "text"):
-            of_word, bounds = words(part.column(1))
-            order = np.argsort(of_word, kind="stable")
-            ordered = of_word[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-            blobs = [
-                bounds.astype("<i8"), ordered[first].astype("<u8"), np.append(first, len(ordered)).astype("<u4"), order.astype("<u4"),
-            ]
+        for part in slices(batches, "text", SEGMENT_BYTES):
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
-                ["segment", "doc_ids", "bounds", "terms", "term_bounds", "positions"],
+                [pa.array([number], pa.int64()), ids, *blobs(part)], ["segment", "doc_ids", "bounds", "terms", "term_bounds", "positions"],
             )
             number += 1
 
@@ -82,7 +84,7 @@ def build_index(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> Da
     kind = rows.schema["doc_id"].dataType.simpleString()
     return settle(rows.mapInArrow(
         task, f"segment long, doc_ids array<{kind}>, bounds binary, terms binary, term_bounds binary, positions binary"
-    ))
+    ), LARGE_ROWS)
 
 
 def documents(index: DataFrame) -> DataFrame:
