@@ -99,6 +99,21 @@ def test_copies_do_not_count_as_furniture(spark):
     assert all(r.text == "\n".join(expected[r.page_id]) for r in found)
 
 
+def test_marked_pages_are_differenced_too(spark):
+    page = lambda inside, after="", before="": f"{before}<article>{inside}</article>{after}"
+    texts = ["".join(f"<p>text {k} {n}</p>" for n in range(5)) for k in range(8)]
+    pages = [
+        (1, "http://a.org/1", page("<p>Slogan</p><p>Results</p>" + texts[1], "<p>own advert</p>")),
+        (2, "http://a.org/2", page("<p>Results</p>" + texts[2], before="<p>Slogan</p>")),
+        (3, "http://b.org/1", page("<p>Slogan</p>" + texts[3])), (4, "http://b.org/2", "<p>Slogan</p>" + texts[4]),
+        (5, "http://c.org/1", page("<p>Slogan</p>" + texts[5], "<p>Legal</p>")),
+        (6, "http://d.org/1", page("<p>Results</p>" + texts[6])), (7, "http://d.org/2", page("<p>Results</p>" + texts[7])),
+    ]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    first = {1: ["Results"], 2: ["Results"], 5: ["Slogan"], 6: ["Results"], 7: ["Results"]}
+    assert found == {k: "\n".join([*first.get(k, []), *(f"text {k} {n}" for n in range(5))]) for k in range(1, 8)}
+
+
 def test_main_text_of_all_small_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in html_text.main_text(rows).collect()}

@@ -1,7 +1,8 @@
 """Main text of HTML pages: block lines, structure, and differencing against the nearest page of the host.
 
-A page that marks its article (``article`` or ``main``) is cut by that mark. On other pages each line that
-the nearest page of the same host shares, in order, is taken for page furniture, unless that page is a copy.
+On every page each line that the nearest page of the same host shares, in order, is taken for page furniture, unless that
+page is a copy. Marks (``article`` or ``main``) check this: a shared line that both pages mark as article stays, and what a page
+with a mark holds outside of it goes.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def shared_lines(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
 
 
 def _parsed(df: DataFrame, row_id: str, url: str, page: str) -> DataFrame:
-    """Row key, id, url, host, path, whether the page marks its article, its lines and their hashes."""
+    """Row key, id, url, host, path, lines (of a page that marks its article those inside), hashes of all lines, bits of those inside."""
     def task(batches):
         number = task_number()
         for part in slices(batches, "html"):
@@ -159,19 +160,20 @@ def _parsed(df: DataFrame, row_id: str, url: str, page: str) -> DataFrame:
                 lines, zoned = page_lines(text)
                 marks = any(zoned)
                 hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in lines], "<u8").tobytes()
-                rows.append((*host_and_path(address), marks, [x for x, z in zip(lines, zoned) if z or not marks], hashes))
-            host, path, marks, lines, hashes = zip(*rows)
+                bits = np.packbits(np.array(zoned, bool)).tobytes()
+                rows.append((*host_and_path(address), [x for x, z in zip(lines, zoned) if z or not marks], hashes, bits))
+            host, path, lines, hashes, bits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(number, number + len(rows)), pa.int64()), part.column(0), part.column(1), pa.array(host), pa.array(path),
-                 pa.array(marks), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.binary())],
-                ["row", "page_id", "url", "host", "path", "marked", "lines", "hashes"],
+                 pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.binary()), pa.array(bits, pa.binary())],
+                ["row", "page_id", "url", "host", "path", "lines", "hashes", "marked"],
             )
             number += len(rows)
 
     rows = narrow(df, page_id=row_id, url=url, html=page)
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(
-        task, f"row long, page_id {kind}, url string, host string, path string, marked boolean, lines array<string>, hashes binary"
+        task, f"row long, page_id {kind}, url string, host string, path string, lines array<string>, hashes binary, marked binary"
     )
 
 
@@ -220,45 +222,64 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     return keyed.join(settle(found), ["host", "same"]).select("row", "near", "next")
 
 
-def furniture(ours: np.ndarray, *others: np.ndarray | None) -> np.ndarray:
-    """Which of our lines the first of the ``others`` shares that has lines and is no copy.
+def furniture(ours: tuple[np.ndarray, np.ndarray], *others: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Which of our lines the first of the ``others`` shares that has lines and is no copy, but for those both mark as article.
 
-    Two pages are copies if at least ``COPY`` of the lines of both lie on their longest common subsequence.
+    A page is the hashes of its lines and whether it marks each. Two pages are copies if at least ``COPY`` of the lines of
+    both lie on their longest common subsequence.
     """
-    for theirs in others:
-        if theirs is None or not len(theirs):
+    lines, marked = ours
+    for other in others:
+        if other is None or not len(other[0]):
             continue
-        shared = shared_lines(ours, theirs)
-        if 2 * shared.sum() < COPY * (len(ours) + len(theirs)):
-            return shared
-    return np.zeros(len(ours), bool)
+        shared = shared_lines(lines, other[0])
+        if 2 * shared.sum() < COPY * (len(lines) + len(other[0])):
+            return shared & ~(marked & np.isin(lines, other[0][other[1]]))
+    return np.zeros(len(lines), bool)
+
+
+def _furniture_rows(pages: DataFrame) -> DataFrame:
+    """``row`` and ``gone`` of the pages that lose lines: a byte for each of ``lines``, 1 if it is furniture."""
+    near = settle(nearest_pages(pages).filter("near is not null"))
+    joined = pages.select("row", "hashes", "marked").join(near, "row")
+    # Pages without a second neighbour get keys that no page has, a different one each.
+    joined = joined.withColumn("next", F.coalesce("next", -1 - F.col("row")))
+    for name, side in (("near", "first"), ("next", "second")):
+        theirs = pages.select(F.col("row").alias(name), F.struct("hashes", "marked").alias(side))
+        joined = joined.join(theirs, name, "left")
+    joined = joined.select("row", F.struct("hashes", "marked").alias("own"), "first", "second")
+
+    def task(batches):
+        def read(side):
+            if side is None:
+                return None
+            lines = np.frombuffer(side["hashes"], "<u8")
+            return lines, np.unpackbits(np.frombuffer(side["marked"], np.uint8), count=len(lines)).astype(bool)
+
+        for batch in batches:
+            rows, masks = [], []
+            for row, *sides in zip(*(column.to_pylist() for column in batch.columns)):
+                own, first, second = map(read, sides)
+                gone = furniture(own, first, second)
+                if own[1].any():
+                    gone = gone[own[1]]
+                if gone.any():
+                    rows.append(row)
+                    masks.append(gone.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(masks, pa.binary())], ["row", "gone"])
+
+    return settle(joined.mapInArrow(task, "row long, gone binary"))
 
 
 def main_text(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per row of ``df``: page_id, url, text (lines joined by a newline, empty if none), n_chars.
 
     Null and empty pages have no text. Pages without a host (null URL or none in it) count as one
-    host. A page alone on its host keeps all lines, and so does one whose two nearest pages are copies of it: a copy
-    does not tell text from furniture. Repeated rows give a row each. Other columns are ignored.
+    host. A page alone on its host keeps all lines within its mark, if it has one, and so does one whose two nearest pages
+    are copies of it: a copy does not tell text from furniture. Repeated rows give a row each. Other columns are ignored.
     """
     pages = settle(_parsed(df, row_id, url, page))
-    open_pages = pages.filter("not marked")
-    joined = open_pages.join(nearest_pages(pages), "row", "left")
-    for name, lines in (("near", "first"), ("next", "second")):
-        theirs = pages.select(F.col("row").alias(name), F.col("hashes").alias(lines))
-        joined = joined.join(theirs, name, "left")
-    joined = joined.select("page_id", "url", "lines", "hashes", "first", "second")
-
-    def task(batches):
-        read = lambda blob: None if blob is None else np.frombuffer(blob, "<u8")
-        for batch in batches:
-            texts = []
-            for lines, *hashes in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                texts.append([x for x, gone in zip(lines, furniture(*map(read, hashes))) if not gone])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "lines"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    cut = joined.mapInArrow(task, f"page_id {kind}, url string, lines array<string>")
-    lines = pages.filter("marked").select("page_id", "url", "lines").unionByName(cut)
-    text = F.array_join("lines", "\n")
-    return lines.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    joined = pages.select("row", "page_id", "url", "lines").join(broadcast_checked(_furniture_rows(pages)), "row", "left")
+    stays = F.filter("lines", lambda _, k: F.substring("gone", k + 1, 1) == F.lit(bytearray(1)))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays), "\n")
+    return joined.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
