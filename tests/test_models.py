@@ -349,3 +349,18 @@ def test_scoring_moves_no_token_while_weights_can_be_broadcast(rows, monkeypatch
 def test_linear_fit_of_rows_that_repeat_an_id(rows):
     found, _ = trained(rows.unionByName(rows.filter("doc_id < 9")), [models.Fit("text", 0, kind="logistic")])
     assert {"cat", "stocks", "naïve"} <= set(term_weights(found))
+
+
+def test_a_linear_fit_leaves_only_its_terms_behind(spark):
+    from pathlib import Path
+
+    from textassay.session import settle, shared_folder
+
+    rows = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} word", k % 2) for k in range(40)], "doc_id long, text string, label int")
+    tokens = models.long_tokens(rows, ["text"])
+    train = settle(rows.selectExpr("doc_id AS id", "0 AS seed", "0 AS step", "label"))
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "textassay"
+    before = set(folder.iterdir())
+    fitted = models.fit(tokens, train, [models.Fit("text", 0, kind="logistic")], [0, 1])
+    assert len(set(folder.iterdir()) - before) == 1
+    assert fitted.terms.count() == 8
