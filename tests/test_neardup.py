@@ -217,3 +217,21 @@ def test_repeated_ids_are_an_error(spark):
     grouped = neardup.groups(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
     with pytest.raises(Exception, match="unique ids"):
         neardup.similar_pairs(grouped, 0.8).count()
+
+
+def test_pairs_leave_only_groups_and_pairs_behind(spark):
+    """Texts, weights and blocks go when nothing reads them any more."""
+    from pathlib import Path
+
+    from textassay.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "textassay"
+    rows = spark.createDataFrame([(i, f"one two three four five w{i // 2}") for i in range(12)] + [(99, "")], "doc_id BIGINT, text STRING")
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    grouped = neardup.groups(rows)
+    pairs = neardup.similar_pairs(grouped, 0.5)
+    listed = {f.removeprefix("file://") for frame in (grouped, pairs) for f in frame.inputFiles()}
+    kept = sum(Path(f.replace("file:", "")).stat().st_size for f in listed)
+    assert pairs.count() > 0 and grouped.count() == 7
+    assert size() - before == kept
