@@ -364,3 +364,16 @@ def test_a_linear_fit_leaves_only_its_terms_behind(spark):
     fitted = models.fit(tokens, train, [models.Fit("text", 0, kind="logistic")], [0, 1])
     assert len(set(folder.iterdir()) - before) == 1
     assert fitted.terms.count() == 8
+
+
+def test_long_tokens_count_every_row_for_itself(spark):
+    """Rows beyond one slice of a batch, repeated and null ids, null and empty texts, two variants."""
+    texts = ["b a b", None, "", "x", "the the cat"]
+    data = [(None if i % 7 == 0 else i // 2, texts[i % 5], texts[(i + 1) % 5]) for i in range(2 * models.BATCH_ROWS + 9)]
+    data = [(i, *(t and t.replace("b", "bb").replace("a", "aa") for t in pair)) for i, *pair in data]
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING, other STRING").coalesce(1)
+    want = Counter((i, name, term, n) for i, *pair in data for name, text in zip(("text", "other"), pair) for term, n in Counter(words(text or "")).items())
+    found = models.long_tokens(df, ["other", "text"])
+    assert found.dtypes == [("id", "bigint"), ("variant", "string"), ("term", "string"), ("tf", "int")]
+    assert Counter(tuple(r) for r in found.collect()) == want
+    assert {r.term for r in models.long_tokens(df, ["text~2"]).collect()} >= {"the caat", "the the", "caat"}

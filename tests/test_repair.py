@@ -151,3 +151,10 @@ def test_strip_markup_and_body(spark):
 def test_repair_of_one_number(spark):
     row = apply(spark, ["Street #39;s gt; #36;5&#39;"], lambda c: repair.repair_number(c, 39))[0]
     assert row == ("Street's gt; #36;5'",)
+
+
+def test_decimal_references_at_the_edge_of_the_list(spark):
+    cases = [f"a&#{n}{end}z" for n in (*range(0, 300), 998, 999, 1000, 1001, 8211) for end in (";", "")]
+    cases += ["&#000000065;", "&#0000000000000000065;x", "&#99999999999999;", "&#2147483648;", "&#4294967361;", "&#x41;", "&#;", "&#+5;", "&# 5;", "&#65 ;", "&#65;&#66;&amp;#67;"]
+    rows = spark.createDataFrame([(c,) for c in cases], "s STRING").select("s", repair.unescape(F.col("s")).alias("u")).collect()
+    assert [r.u for r in rows] == [html.unescape(r.s) for r in rows]
