@@ -398,3 +398,37 @@ def test_clean_documents_are_kept(spark):
     rows = judged.filter("not base_failed").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert all(good) and sum(bad) < 0.6 * len(bad)
+
+
+def test_strings_of_a_bucket_are_merged_in_passes(monkeypatch):
+    """A bucket's memory is its texts and a little for each start, and passes change nothing."""
+    import tracemalloc
+
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(97, 123, 300_000, np.uint8)
+    blobs, texts = [], []
+    for shard in range(4):  # one long piece and a short one each, of one text for all
+        pieces = [(int(rng.integers(0, 40_000)), 200_000, 10 - shard), (int(rng.integers(0, 200_000)), 40, 20 + shard)]
+        texts.append([(1_000_000 * k, pool[at : at + n + suffix.LENGTH - 1], n, document) for k, (at, n, document) in enumerate(pieces)])
+        head = np.array([[len(pieces)], *([x] for piece in zip(*[(p, n, d) for p, _, n, d in texts[-1]]) for x in piece)], "<i8").ravel()
+        blobs.append(zstandard.ZstdCompressor().compress(head.tobytes() + b"".join(text.tobytes() for _, text, _, _ in texts[-1])))
+    first = {}
+    for pieces in texts:
+        for _, text, n, document in pieces:
+            raw = text.tobytes()
+            for k in range(n):
+                key = raw[k : k + suffix.LENGTH]
+                first[key] = min(first.get(key, document), document)
+    expected = [
+        [p + k for p, text, n, document in pieces for k in range(n) if first[text[k : k + suffix.LENGTH].tobytes()] < document] for pieces in texts
+    ]
+    for size in (1 << 14, 1 << 20):
+        monkeypatch.setattr(suffix, "PASS_STARTS", size, raising=False)
+        tracemalloc.start()
+        found = suffix.merge_pieces(blobs)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [x.tolist() for x in found] == expected and any(expected)
+        assert size > 1 << 14 or peak < 30 * 800_160

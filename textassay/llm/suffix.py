@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document holds, with a suffix array per shard.
 
-Distinct texts are packed into shards of a few megabytes, kept as files in the shared folder.
+Distinct texts are packed into shards of two megabytes, kept as files in the shared folder.
 
 1. Every 50-byte string has a key: the least hash of the 16-byte strings inside it. Equal strings
    have equal keys, and neighbours mostly share one, so keys are few. Each shard sends its distinct
@@ -8,8 +8,8 @@ Distinct texts are packed into shards of a few megabytes, kept as files in the s
 2. Each shard sorts the suffixes of the regions whose keys are shared (prefix doubling on the groups
    that are still tied) and finds equal 50-byte strings by their common prefixes (Kasai). Of each
    string only the shard's first document goes on to the other shards.
-3. In each bucket the shards' strings are merged into one sorted table with the smallest document of
-   each string; every shard's strings are found in it by binary search.
+3. In each bucket the strings of all shards are sorted by hash, a part of the hashes at a time, and each
+   string is held against the smallest document that has it.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ from textassay.session import settle
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 # Positions whose keys are worked out at a time.
 KEY_BYTES = 256 << 10
-# Text that one bucket of the hash range stands for.
-BUCKET_BYTES = 32 << 20
+# Text that one bucket of the hash range stands for, and strings of a bucket that are compared at a time.
+BUCKET_BYTES = 16 << 20
+PASS_STARTS = 1 << 19
 _KASAI_STEPS = 64
 _LANE_OFFSETS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
 
@@ -274,41 +275,71 @@ def pack_pieces(shard: Shard, firsts: np.ndarray, start: np.ndarray, run: np.nda
     return out
 
 
-def merge_pieces(blobs: list[bytes]) -> list[np.ndarray]:
-    """For each shard's blob the starts that an earlier document of another shard holds."""
-    parts, texts, positions, documents, sizes = [], [], [], [], []
-    base = 0
+def merge_pieces(blobs: list) -> list[np.ndarray]:
+    """For each shard's blob the starts that an earlier document of another shard holds.
+
+    Equal strings have equal hashes, so strings are compared in passes by their hash, about ``PASS_STARTS``
+    of them at a time; only the texts and two bytes for each start are held throughout.
+    """
+    squeezed = zstandard.ZstdDecompressor()
+    sizes = [zstandard.get_frame_parameters(blob).content_size for blob in blobs]
+    data, heads, base = np.empty(sum(sizes), np.uint8), [], 0  # more than the texts alone: pages that nothing touches take no memory
     for blob in blobs:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
+        raw = squeezed.decompress(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        position, count, document = np.frombuffer(raw, "<i8", _PIECE_HEAD * n, 8).reshape(_PIECE_HEAD, n)
         text = np.frombuffer(raw, np.uint8, offset=8 + 8 * _PIECE_HEAD * n)
-        width = count + LENGTH - 1
-        parts.append(expand(np.cumsum(width) - width, count) + base)
-        positions.append(expand(position, count))
-        documents.append(np.repeat(document, count))
-        sizes.append(int(count.sum()))
-        texts.append(text)
+        heads.append(np.frombuffer(raw, "<i8", _PIECE_HEAD * n, 8).reshape(_PIECE_HEAD, n).copy())
+        data[base : base + len(text)] = text
         base += len(text)
-    eight = lanes(np.concatenate(texts))
-    at, document = np.concatenate(parts), np.concatenate(documents)
-    seed = np.uint64(0)
-    while True:
-        seed += np.uint64(1)
-        hashed = np.full(len(at), seed)
+        del raw, text
+    ends_of = np.cumsum([head.shape[1] for head in heads])
+    position, count, document = np.concatenate(heads, axis=1)
+    del heads
+    width = count + LENGTH - 1
+    place = np.cumsum(width) - width
+    last = np.cumsum(count)
+    first = last - count
+    del width, count
+    eight = np.ndarray((max(0, base - 7),), "<u8", data.data, 0, (1,))
+    n = int(last[-1])
+
+    def found(starts: np.ndarray, run: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        at = place[run] + (starts - first[run])
+        hashed = np.full(len(at), seed, np.uint64)
         for offset in _LANE_OFFSETS:
             hashed = mix(hashed ^ eight[at + offset])
-        by = np.argsort(hashed)
-        edges = np.flatnonzero(np.concatenate([[True], hashed[by][1:] != hashed[by][:-1]]))
-        lead = np.repeat(at[by[edges]], np.diff(np.append(edges, len(by))))
-        if all((eight[at[by] + offset] == eight[lead + offset]).all() for offset in _LANE_OFFSETS):
-            break  # else two strings share a hash: take another
-    table, smallest = hashed[by[edges]], np.minimum.reduceat(document[by], edges)
-    out, base = [], 0
-    for position, n in zip(positions, sizes):
-        own = slice(base, base + n)
-        out.append(np.sort(position[document[own] > smallest[np.searchsorted(table, hashed[own])]]))
-        base += n
+        return at, hashed
+
+    passes = min(256, -(-n // PASS_STARTS))
+    turn = np.zeros(n, np.uint8)
+    for start in range(0, n if passes > 1 else 0, PASS_STARTS):
+        starts = np.arange(start, min(n, start + PASS_STARTS))
+        turn[start : start + PASS_STARTS] = (found(starts, np.searchsorted(last, starts, "right"), 0)[1] >> np.uint64(32)) % np.uint64(passes)
+    gone = np.zeros(n, bool)
+    for k in range(passes):
+        starts = np.flatnonzero(turn == k)
+        if not len(starts):
+            continue
+        run = np.searchsorted(last, starts, "right")
+        seed = 0
+        while True:
+            seed += 1
+            at, hashed = found(starts, run, seed)
+            by = np.argsort(hashed)
+            hashed, at = hashed[by], at[by]
+            edges = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
+            held = np.diff(np.append(edges, len(by)))
+            lead = np.repeat(at[edges], held)
+            if all((eight[at + offset] == eight[lead + offset]).all() for offset in _LANE_OFFSETS):
+                break  # else two strings share a hash: take another
+        own = document[run[by]]
+        gone[starts[by[own > np.repeat(np.minimum.reduceat(own, edges), held)]]] = True
+    out, start = [], 0
+    for stop in (last[end - 1] if end else 0 for end in ends_of):
+        later = np.flatnonzero(gone[start:stop]) + start
+        run = np.searchsorted(last, later, "right")
+        out.append(np.sort(position[run] + (later - first[run])))
+        start = stop
     return out
 
 
@@ -408,7 +439,8 @@ def _compared(shards: DataFrame, shared: DataFrame, parts: int, bits: int) -> Da
 def _merged(compared: DataFrame) -> DataFrame:
     """Repeats of strings that an earlier document of another shard holds: shard, spans."""
     def merge(table: pa.Table) -> pa.Table:
-        found = [spans_of(x).tobytes() for x in merge_pieces(table.column("pieces").to_pylist())]
+        found = [spans_of(x).tobytes() for x in merge_pieces([x.as_buffer() for x in table.column("pieces")])]
+        release()
         return pa.table({"shard": table.column("shard"), "spans": pa.array(found, pa.binary())})
 
     pieces = compared.select("shard", F.inline("sent"))
