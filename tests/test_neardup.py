@@ -212,6 +212,28 @@ def test_blocks_and_strips_lose_no_pair(spark, monkeypatch):
     assert found == pytest.approx(expected)
 
 
+def test_groups_of_blocks_lose_no_pair_and_rare_terms_stand_in_for_all(spark, monkeypatch):
+    """Many blocks and groups of blocks; only rare terms are met, and what hangs together is compared but once."""
+    for name, value in (("BLOCK", 10), ("COLUMN_BLOCKS", 2), ("STRIP_CELLS", 40), ("SPARSE", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = family_texts(11, 120, 0.6, 12)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    for threshold in (0.8, 0.6):
+        expected = {pair: cos for pair, cos in brute_cosines(texts).items() if cos >= threshold}
+        found = {(r.a, r.b): r.cosine for r in neardup.similar_pairs(grouped, threshold).collect()}
+        assert found == pytest.approx(expected) and len(found) > 50
+        links = [(r.a, r.b) for r in neardup.linked(grouped, threshold, crowd=3).collect()]
+        assert set(links) <= set(expected) and components(links) == components(expected)
+
+
+def test_links_of_one_task_are_fewer_than_its_vectors(spark):
+    texts = family_texts(6, 200, 0.8, 2)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    found = components((r.a, r.b) for r in neardup.similar_pairs(grouped, 0.8).collect())
+    links = neardup.linked(grouped, 0.8)
+    assert links.count() == len(found) - len(set(found.values()))
+
+
 def test_repeated_ids_are_an_error(spark):
     rows = [(1, "some words of a text"), (1, "some words of a text"), (2, "some words of another")]
     grouped = neardup.groups(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))

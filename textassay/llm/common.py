@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textassay.session import ship
+from textassay.session import release, ship
 
 # Text that one slice of a batch holds; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -24,14 +23,6 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def release() -> None:
-    """Give memory that a task has freed back to the system; workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:  # not every C library has it
-        trim(0)
-
-
 def slices(batches, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``limit`` bytes of ``text`` each; freed memory goes back at the end."""
     for batch in batches:
