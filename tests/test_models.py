@@ -159,6 +159,22 @@ def test_svc_reaches_the_minimum_of_its_objective(wide):
     assert all(r.prediction == r.label for r in predicted(found, tokens, df).values())
 
 
+def test_linear_fits_of_the_same_rows_share_their_coordinates(rows, monkeypatch):
+    """Kinds and penalties differ after the coordinates; each model is what a fit of its own gives."""
+    made = []
+    coordinates = models._coordinates
+    monkeypatch.setattr(models, "_coordinates", lambda *args: made.append(1) or coordinates(*args))
+    fits = [models.Fit("text", 0, kind="svc"), models.Fit("text", 0, kind="logistic"), models.Fit("text", 0, kind="logistic", c=5.0),
+            models.Fit("text", 0, kind="logistic", min_df=2)]
+    together, _ = trained(rows, fits)
+    assert len(made) == 2
+    for m, one in enumerate(fits[:3]):
+        alone, _ = trained(rows, [one])
+        ours, theirs = term_weights(together, m), term_weights(alone)
+        assert ours.keys() == theirs.keys() and all(ours[t] == pytest.approx(theirs[t], abs=1e-6) for t in ours)
+        assert together.intercepts[m] == pytest.approx(alone.intercepts[0], abs=1e-6)
+
+
 def test_a_fit_that_does_not_converge_is_an_error(wide):
     for kind in ("logistic", "svc"):
         with pytest.raises(RuntimeError, match="within 2 steps"):
