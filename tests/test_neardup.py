@@ -214,7 +214,7 @@ def test_blocks_and_strips_lose_no_pair(spark, monkeypatch):
 
 def test_groups_of_blocks_lose_no_pair_and_rare_terms_stand_in_for_all(spark, monkeypatch):
     """Many blocks and groups of blocks; only rare terms are met, and what hangs together is compared but once."""
-    for name, value in (("BLOCK", 10), ("COLUMN_BLOCKS", 2), ("STRIP_CELLS", 40), ("SPARSE", 4)):
+    for name, value in (("BLOCK", 10), ("COLUMN_BLOCKS", 2), ("STRIP_CELLS", 40), ("SPARSE", 4), ("BLOCK_TERMS", 150)):
         monkeypatch.setattr(neardup, name, value)
     texts = family_texts(11, 120, 0.6, 12)
     grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
@@ -226,6 +226,29 @@ def test_groups_of_blocks_lose_no_pair_and_rare_terms_stand_in_for_all(spark, mo
         assert set(links) <= set(expected) and components(links) == components(expected)
 
 
+@pytest.mark.parametrize(("meetings", "sparse"), [(7, 0), (1 << 20, 1_000_000), (1 << 20, 0), (7, 2)])
+def test_candidates_hold_every_pair_however_sums_are_held(spark, monkeypatch, meetings, sparse):
+    """Sums in pieces, in all columns or in those met alone; rows of a block against a group that holds it and one behind it."""
+    for name, value in (("BLOCK_TERMS", 900), ("STRIP_CELLS", 100), ("MEETINGS", meetings), ("SPARSE", sparse)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = family_texts(12, 120, 0.5, 10)
+    grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
+    expected = {pair for pair, cos in brute_cosines(texts).items() if cos >= 0.8}
+    folder, blocks = neardup._blocks(grouped.select("id", "vec"), 0.8)
+    found = set()
+    assert len(blocks) > 4
+    for group in (blocks[:3], blocks[3:]):
+        index = neardup._Index(folder, group)
+        ids = [i for number in group for i in neardup._read(folder, number, ["id"])["id"].to_pylist()]
+        for number in blocks[: blocks.index(group[-1]) + 1]:
+            table = neardup._read(folder, number, ["id", "head", "head_w", "behind"])
+            x, y = neardup._candidates(table, index, index.first.get(number), 0.8)
+            pairs = [tuple(sorted((table["id"][int(r)].as_py(), ids[c]))) for r, c in zip(x, y)]
+            assert len(set(pairs)) == len(pairs) and not found & set(pairs)
+            found |= set(pairs)
+    assert expected <= found and len(expected) > 50 and len(found) < 120 * 119 // 2
+
+
 def test_links_of_one_task_are_fewer_than_its_vectors(spark):
     texts = family_texts(6, 200, 0.8, 2)
     grouped = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"))
